@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.session import ship
+from knotwork.storage import shared_dir, table
+
+__all__ = ["hash_order", "keep_ids", "narrow_ids", "share", "shared_dir", "table"]
 
 #: At most so many keys of 8 bytes are broadcast; beyond that the join shuffles. About 50 MB as a hashed relation.
 BROADCAST_KEYS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees.
-
-    Where it is unset, a local session gets a temporary folder that goes with the process; a cluster gets an error,
-    because a machine-local folder would not survive there.
-    """
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="knotwork-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def table(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: computed once, no lineage, columns prunable, executors may go."""
-    path = f"{shared_dir(df.sparkSession)}/knotwork/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def narrow_ids(df: DataFrame, key: str, limit: int = BROADCAST_KEYS) -> tuple[DataFrame, bool]:
     """df's key column, and whether it is few enough to broadcast. df should be a written table: it is counted."""
     few = df.select(key).limit(limit + 1).count() <= limit
