@@ -26,8 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession, name: str = "") -> str:
+    """A path for a table of this application, in the shared folder."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_knotwork_tables", False):
+        sc._knotwork_tables = True
+        atexit.register(clean, spark)
+    return f"{shared_dir(spark)}/knotwork/{sc.applicationId}/{name}{uuid.uuid4().hex}"
+
+
 def table(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/knotwork/{uuid.uuid4().hex}"
+    """df written to the shared folder and read again. The table stays until clean() or the end of the application."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables of this application; results that were not written elsewhere go with them."""
+    sc = spark.sparkContext
+    if sc._jsc is None:  # stopped
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/knotwork/{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
