@@ -6,12 +6,10 @@ stage's docs.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from knotwork.llm import exact_dedup, langid, mixing, ngram_join, packing
-from knotwork.llm._spark import shared_dir
+from knotwork.storage import new_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +41,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/knotwork/pipeline-{uuid.uuid4().hex}-{name}"
+        path = new_path(spark, f"{name}-")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

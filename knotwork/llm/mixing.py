@@ -51,7 +51,7 @@ def _targets(units: DataFrame, weights: Mapping[str, float] | None, total: int |
     s = s.withColumn("low", F.floor("quota").cast("bigint"))
     left = F.col("size") - F.sum("low").over(every)
     rank = F.row_number().over(Window.orderBy((F.col("quota") - F.col("low")).desc(), "__kw_source"))
-    return s.withColumn("target", F.col("low") + (rank <= left).cast("bigint")).select(F.col("__kw_source").alias("s"), "whole", "target")
+    return s.withColumn("target", F.col("low") + (rank <= left).cast("bigint")).select(F.col("__kw_source").alias("__kw_s"), F.col("whole").alias("__kw_whole"), F.col("target").alias("__kw_target"))
 
 
 def _copies(docs: DataFrame, weights: Mapping[str, float] | None, total: int | None, seed: int) -> DataFrame:
@@ -62,15 +62,15 @@ def _copies(docs: DataFrame, weights: Mapping[str, float] | None, total: int | N
     few = targets.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
 
     def shares(df: DataFrame, of: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(of) if few else of, F.col("__kw_source") == F.col("s"))
-        share = F.col("target") * F.col("__kw_size")
-        df = df.withColumns({"__kw_sure": F.floor(share / F.col("whole")).cast("bigint"), "__kw_rest": F.pmod(share, F.col("whole"))})
+        df = df.join(F.broadcast(of) if few else of, F.col("__kw_source") == F.col("__kw_s"))
+        share = F.col("__kw_target") * F.col("__kw_size")
+        df = df.withColumns({"__kw_sure": F.floor(share / F.col("__kw_whole")).cast("bigint"), "__kw_rest": F.pmod(share, F.col("__kw_whole"))})
         # The quotient of large whole numbers in floating point may be off by one; the remainder is exact.
-        df = df.withColumn("__kw_sure", F.expr("(target * __kw_size - __kw_rest) div whole"))
-        q = F.when(F.col("__kw_rest") > 0, _odds(F.col("__kw_rest"), F.col("whole"), F.col("__kw_odd")))
+        df = df.withColumn("__kw_sure", F.expr("(__kw_target * __kw_size - __kw_rest) div __kw_whole"))
+        q = F.when(F.col("__kw_rest") > 0, _odds(F.col("__kw_rest"), F.col("__kw_whole"), F.col("__kw_odd")))
         return df.withColumn("__kw_q", q)
 
-    ranked = shares(narrow, targets).select("s", "whole", "target", "id", "__kw_rest", F.col("__kw_q").alias("q"))
+    ranked = shares(narrow, targets).select(F.col("__kw_s").alias("s"), F.col("__kw_whole").alias("whole"), "id", "__kw_rest", F.col("__kw_q").alias("q"))
     ranked = ranked.withColumn("cell", F.least(F.floor(CELLS * (F.col("q") / (1 + F.col("q")))), F.lit(CELLS - 1)))
     # Places left = the remainders' sum over whole. Cells of the order narrow the search to one cell of each source.
     cells = ranked.groupBy("s", "whole", "cell").agg(F.sum("__kw_rest").alias("rest"), F.count("q").alias("n"))
@@ -79,10 +79,10 @@ def _copies(docs: DataFrame, weights: Mapping[str, float] | None, total: int | N
     before = F.coalesce(F.sum("n").over(by_source.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = table(cells.where("cell is not null").withColumn("before", before).where("before < places and before + n >= places").select(F.col("s").alias("cs"), F.col("cell").alias("cc"), (F.col("places") - F.col("before")).alias("take")))
     last = ranked.join(F.broadcast(cells) if few else cells, (F.col("s") == F.col("cs")) & (F.col("cell") == F.col("cc")))
-    last = last.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("q", "id"))).where("rn = take").select(F.col("s").alias("ls"), F.col("q").alias("last_q"), F.col("id").alias("last_id"))
-    limits = table(targets.join(last, F.col("s") == F.col("ls"), "left").drop("ls"))
+    last = last.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("q", "id"))).where("rn = take").select(F.col("s").alias("__kw_ls"), F.col("q").alias("__kw_last_q"), F.col("id").alias("__kw_last_id"))
+    limits = table(targets.join(last, F.col("__kw_s") == F.col("__kw_ls"), "left").drop("__kw_ls"))
     done = shares(units, limits)
-    first = (F.col("__kw_q") < F.col("last_q")) | ((F.col("__kw_q") == F.col("last_q")) & (F.col("doc_id").cast("bigint") <= F.col("last_id")))
+    first = (F.col("__kw_q") < F.col("__kw_last_q")) | ((F.col("__kw_q") == F.col("__kw_last_q")) & (F.col("doc_id").cast("bigint") <= F.col("__kw_last_id")))
     return done.withColumn("__kw_copies", F.col("__kw_sure") + F.coalesce(first, F.lit(False)).cast("bigint")).where("__kw_copies > 0")
 
 
