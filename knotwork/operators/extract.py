@@ -257,39 +257,45 @@ def _found(rules: dict[str, Rule]) -> tuple[Column, Column]:
     return drop(nodes), drop(edges)
 
 
-def extract_with(files: DataFrame, rules: dict[str, Rule], language: str | Column, file_type: str = "file") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) that the rules find in files, each file's own node included; nothing is deduplicated."""
-    name = F.lit(language) if isinstance(language, str) else language
-    f = _files(files).withColumn("language", name)
+def _extract(files: DataFrame, groups: list[tuple[Column | None, dict[str, Rule]]], language: Column, file_type: Column) -> tuple[DataFrame, DataFrame]:
+    """What the rules of the first group whose condition holds find in each file; files are read once for either result."""
+    f = _files(files).withColumns({"language": language, "file_type": file_type})
     found = lines(f)
-    nodes, edges = _found(rules)
+    made = [(c, *_found(rules)) for c, rules in groups]
+    sides = []
+    for k in (1, 2):
+        chosen = None
+        for m in made:
+            c = m[0] if m[0] is not None else F.lit(True)
+            chosen = F.when(c, m[k]) if chosen is None else chosen.when(c, m[k])
+        sides.append(chosen)
     at = F.col("base") + F.col("number") * PARTS_PER_LINE
     where = F.concat(F.lit("L"), F.col("number").cast("string"))
-    n = found.select("path", "language", at.alias("at"), where.alias("loc"), F.posexplode(nodes).alias("k", "n"))
+    n = found.select("path", "language", at.alias("at"), where.alias("loc"), F.posexplode(sides[0]).alias("k", "n"))
     n = n.select(F.col("n.id").alias("id"), F.col("n.label").alias("label"), F.col("n.type").alias("type"), F.col("path").alias("source_file"), F.col("loc").alias("source_location"), F.col("n.metadata").alias("metadata"), "language", (F.col("at") + F.col("k")).alias("ord"))
-    meta = F.to_json(F.struct(F.octet_length("content").cast("bigint").alias("file_size_bytes"), F.lit("PDF").alias("format"))) if file_type == "document" else F.lit(None).cast("string")
-    own = f.select(F.col("file_id").alias("id"), F.col("path").alias("label"), F.lit(file_type).alias("type"), F.col("path").alias("source_file"), F.lit(None).cast("string").alias("source_location"), meta.alias("metadata"), "language", F.col("base").alias("ord"))
-    e = found.select("path", at.alias("at"), where.alias("loc"), F.posexplode(edges).alias("k", "e"))
+    meta = F.when(F.col("file_type") == "document", F.to_json(F.struct(F.octet_length("content").cast("bigint").alias("file_size_bytes"), F.lit("PDF").alias("format"))))
+    own = f.select(F.col("file_id").alias("id"), F.col("path").alias("label"), F.col("file_type").alias("type"), F.col("path").alias("source_file"), F.lit(None).cast("string").alias("source_location"), meta.alias("metadata"), "language", F.col("base").alias("ord"))
+    e = found.select("path", at.alias("at"), where.alias("loc"), F.posexplode(sides[1]).alias("k", "e"))
     e = e.select("e.*", F.col("path").alias("source_file"), F.col("loc").alias("source_location"), (F.col("at") + F.col("k")).alias("ord"))
     return own.unionByName(n), e
 
 
+def extract_with(files: DataFrame, rules: dict[str, Rule], language: str, file_type: str = "file") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that the rules find in files, each file's own node included; nothing is deduplicated."""
+    return _extract(files, [(None, rules)], F.lit(language), F.lit(file_type))
+
+
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of files by extension; a file of an unknown one is a lone node, its language `unknown (ext)`."""
-    by_ext = {e: (name, rules) for name, rules, exts in LANGUAGES for e in exts}
-    ext = extension(F.col("path"))
-    groups: dict[int, tuple[dict[str, Rule], list[tuple[str, str]]]] = {}
-    for e, (name, rules) in by_ext.items():
-        groups.setdefault(id(rules), (rules, []))[1].append((e, name))
-    nodes = edges = None
-    for rules, members in groups.values():
-        language = F.coalesce(*(F.when(ext == e, F.lit(n)) for e, n in members))
-        part = extract_with(files.where(ext.isin(*(e for e, _ in members))), rules, language, "document" if rules is PDF else "file")
-        nodes = part[0] if nodes is None else nodes.unionByName(part[0])
-        edges = part[1] if edges is None else edges.unionByName(part[1])
-    rest = files.where(~ext.isin(*by_ext))
-    lone, _ = extract_with(rest, {}, F.concat(F.lit("unknown ("), extension(F.col("path")), F.lit(")")))
-    return nodes.unionByName(lone.where("source_location is null")), edges
+    members: dict[int, tuple[dict[str, Rule], list[str]]] = {}
+    names = []
+    ext = F.col("ext")
+    for name, rules, exts in LANGUAGES:
+        members.setdefault(id(rules), (rules, []))[1].extend(exts)
+        names.append(F.when(ext.isin(*exts), F.lit(name)))
+    language = F.coalesce(*names, F.concat(F.lit("unknown ("), ext, F.lit(")")))
+    groups = [(ext.isin(*exts), rules) for rules, exts in members.values()]
+    return _extract(files, groups, language, F.when(ext == "pdf", "document").otherwise("file"))
 
 
 def errors(files: DataFrame) -> DataFrame:

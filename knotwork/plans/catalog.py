@@ -245,7 +245,7 @@ on_star("impact_nodes", "SELECT id, CAST(depth AS BIGINT) AS distance, CASE dept
 on_star("impact_summary", "SELECT d AS direct, i AS indirect, d + i AS blast_radius, round(least(1.0, (d + i) / (SELECT count(*) FROM nodes)), 6)::DOUBLE AS risk, 50 * (d + i) AS estimated_lines FROM (SELECT count(*) FILTER (depth = 1) AS d, count(*) FILTER (depth > 1) AS i FROM b3)", *_IMPACT)(
     lambda g: traverse.impact_summary(g, ["n_0", "c_1"]).withColumn("risk", F.round("risk", 6))
 )
-on_star("find_nodes", "SELECT id, label FROM nodes WHERE contains(lower(label), 'e#1')")(lambda g: verbs.find_nodes(g, "E#1").select("id", "label"))
+on_star("find_nodes", "SELECT id, label FROM nodes WHERE contains(lower(label), 'r#1')")(lambda g: verbs.find_nodes(g, "R#1").select("id", "label"))
 on_star("keyword_search", "SELECT word, id, label FROM (SELECT w.word, n.id, n.label, n.ord FROM nodes n JOIN (VALUES (0, 'order#12'), (1, 'asia')) w(word, t) ON contains(lower(label), t)) ORDER BY word, ord, id LIMIT 20")(lambda g: verbs.keyword_search(g, "order#12 ASIA"))
 on_star("query_verb", "SELECT id, CAST(depth AS BIGINT) AS depth, label FROM b2 JOIN nodes USING (id)", "s AS (SELECT id FROM nodes WHERE contains(lower(label), 'asia') ORDER BY ord, id LIMIT 1)", *_walk("source", "target", "SELECT id FROM s", 2))(lambda g: verbs.query(g, "asia"))
 on_star(
