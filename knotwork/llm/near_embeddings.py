@@ -21,7 +21,8 @@ from ._text import U64, mix
 
 THRESHOLD = 0.95
 TABLES = 8
-HASHES = 2
+#: With d axes a table has (2d)^HASHES buckets, so chance meetings grow with the square of the input over that number.
+HASHES = 3
 PROBES = 3
 BLOCK = 512
 SIGNED = "vec_id bigint, fp1 bigint, fp2 bigint, vector array<float>, own array<bigint>, probes array<bigint>"
