@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from knotwork.session import ship
 from knotwork.storage import shared_dir, table
 
-__all__ = ["hash_order", "keep_ids", "narrow_ids", "share", "shared_dir", "table"]
+__all__ = ["between_members", "hash_order", "keep_ids", "narrow_ids", "share", "shared_dir", "table"]
 
 #: At most so many keys of 8 bytes are broadcast; beyond that the join shuffles. About 50 MB as a hashed relation.
 BROADCAST_KEYS = 1_000_000
@@ -38,3 +38,23 @@ def share(spark: SparkSession, value: object) -> Broadcast:
 def hash_order(column: str, seed: int = 0) -> Column:
     """A text that orders rows at random but always alike; DuckDB's md5 gives the same."""
     return F.md5(F.concat(F.col(column).cast("string"), F.lit(f":{seed}")))
+
+
+def between_members(pairs: DataFrame, members: DataFrame, names: tuple[str, str, str], cell: int = 256) -> DataFrame:
+    """Pairs of identifiers from pairs of groups, under names: the lesser identifier, the greater, and the score.
+
+    pairs (ga, gb, score) hold for every member of ga with every one of gb; members (gid, id), a written table, also pair
+    with the others of their group at 1.0. A pair that is reached more than once comes once, with its greatest score. Groups
+    are cut into cells of about so many members and every two cells make one row until they are dealt out, so no task gets
+    all pairs of a large group.
+    """
+    sized = members.groupBy("gid").agg(F.ceil(F.count("*") / cell).alias("cells"))
+    cells = members.join(sized, "gid").groupBy("gid", F.pmod(F.xxhash64("id"), F.col("cells")).alias("slot")).agg(F.collect_set("id").alias("ids"))
+    cells = table(cells)
+    within = members.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"), F.lit(1.0).alias("score"))
+    a, b = (cells.select(F.col("gid").alias(f"g{x}"), F.col("slot").alias(f"s{x}"), F.col("ids").alias(f"i{x}")) for x in "ab")
+    met = pairs.select("ga", "gb", "score").unionByName(within).join(a, "ga").join(b, "gb").where("ga <> gb or sa <= sb")
+    met = met.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ga", "gb", "sa", "sb")
+    one = met.select("*", F.explode("ia").alias("x")).drop("ia")
+    two = one.select("*", F.explode("ib").alias("y")).where("x <> y and (ga <> gb or sa < sb or x < y)")
+    return two.groupBy(F.least("x", "y").alias(names[0]), F.greatest("x", "y").alias(names[1])).agg(F.max("score").alias(names[2]))

@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join of documents: MinHash banding finds candidate pairs, full n-gram sets verify them.
 
 Band and row counts follow from the threshold and the recall wanted there. Documents with equal n-gram sets are joined
-first, as a group, so copies cost nothing further; a representative of each group is banded. A pair of representatives is
-verified where its first common band hash brings it together, once, and large buckets are verified in blocks.
+first, as a group; a representative of each group is banded. A pair of representatives is verified where its first common
+band hash brings it together, once, and large buckets are verified in blocks. A verified pair holds for all members of the
+two groups, and is reported for each two of them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from knotwork.session import ship
 
-from ._spark import keep_ids, narrow_ids, table
+from ._spark import between_members, keep_ids, narrow_ids, table
 from ._text import U64, WORDS, Codes, batches, mix, ngram_hashes
 
 NGRAM = 3
@@ -26,7 +27,7 @@ RECALL = 0.96
 #: Buckets of more documents are cut into blocks of about so many, and every two blocks meet.
 BLOCK = 256
 SIGNED = "doc_id bigint, size bigint, fp1 bigint, fp2 bigint, bands array<bigint>"
-PAIRS = "doc_a bigint, doc_b bigint, jaccard double"
+PAIRS = "ga bigint, gb bigint, jaccard double"
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -127,7 +128,7 @@ def _verify(n: int, threshold: float):
 
         def done() -> pa.RecordBatch:
             a, b, j = _verify_group(np.array(ids, np.int64), texts, partners, n, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(j)], ["doc_a", "doc_b", "jaccard"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(j)], ["ga", "gb", "jaccard"])
 
         for batch in stream:
             lists = batch.column(3)
@@ -149,48 +150,56 @@ def _block(id_: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(id_), blocks)
 
 
-def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Pairs (doc_a < doc_b, jaccard) of documents whose sets of word n-grams have a Jaccard index of threshold or more.
-
-    Words are runs of letters and digits in lower case; a text of fewer than n words is one n-gram. Documents with equal
-    sets form a group: each member is paired with the least doc_id of its group at 1.0, and only that representative is
-    compared with others, so pairs between members of two groups follow from theirs. Nothing else is left out but what
-    banding misses (about 1 - recall at the threshold, less above it). Texts that are null or have no word match nothing;
-    rows without doc_id are not looked at; repeated rows count once, and where one doc_id has several texts, each is
-    compared. Other columns are not looked at.
-    """
+def _groups(docs: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups of documents with equal n-gram sets: (gid, doc_id of the representative), (gid, id of each member), and the
+    verified pairs of groups (ga, gb, jaccard). A document with several texts is in several groups."""
     ship(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
     signed = table(d.mapInArrow(_sign(bands, rows, n), SIGNED))
-    groups = signed.groupBy("size", "fp1", "fp2")
-    copies = signed.join(groups.agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1"), ["size", "fp1", "fp2"]).where("doc_id <> rep")
-    copies = copies.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    reps = table(groups.agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("r.doc_id", "r.bands"))
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
+    same = ["size", "fp1", "fp2"]
+    # A written table keeps the numbers that it is given.
+    reps = table(signed.groupBy(*same).agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(F.monotonically_increasing_id().alias("gid"), *same, "r.doc_id", "r.bands"))
+    members = table(signed.select(*same, F.col("doc_id").alias("id")).join(reps.select(*same, "gid"), same).select("gid", "id").distinct())
+    keyed = reps.select("gid", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / block).alias("blocks"))
     met = table(keyed.join(crowded, "key"))
-    few = met.join(reps, "doc_id")
-    # Each document meets its own block and every other one: (i, j) with i <= j.
-    mine = _block(F.col("doc_id"), F.col("blocks"))
-    spread = few.select("key", "doc_id", "bands", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"), mine.alias("mine"))
-    spread = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "bands")
+    few = met.join(reps.select("gid", "bands"), "gid")
+    # Each group meets its own block and every other one: (i, j) with i <= j.
+    mine = _block(F.col("gid"), F.col("blocks"))
+    spread = few.select("key", "gid", "bands", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"), mine.alias("mine"))
+    spread = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "gid", "bands")
     a, b = spread.alias("a"), spread.alias("b")
-    together = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.doc_id") < F.col("b.doc_id"))
+    together = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.gid") < F.col("b.gid"))
     # Of block (i, j), the pairs of i with j; within i itself only at (i, i).
     together &= (F.col("a.mine") != F.col("b.mine")) | (F.col("a.i") == F.col("a.j"))
     place = F.array_position("a.bands", F.col("a.key")).cast("int") - 1
     first = ~F.arrays_overlap(F.slice("a.bands", F.lit(1), place), F.slice("b.bands", F.lit(1), place))
-    pairs = a.join(b, together).where(first).select("a.key", "a.i", "a.j", F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"))
-    at = pairs.select("key", "i", "j", F.col("x").alias("id"), F.col("y").alias("partner"))
-    at = at.unionByName(pairs.select("key", "i", "j", F.col("y").alias("id"), F.lit(None).cast("bigint").alias("partner")))
-    places = table(at.groupBy("key", "i", "j", "id").agg(F.collect_list("partner").alias("partners")))
+    pairs = a.join(b, together).where(first).select("a.key", "a.i", "a.j", F.col("a.gid").alias("x"), F.col("b.gid").alias("y"))
+    at = pairs.select("key", "i", "j", F.col("x").alias("gid"), F.col("y").alias("partner"))
+    at = at.unionByName(pairs.select("key", "i", "j", F.col("y").alias("gid"), F.lit(None).cast("bigint").alias("partner")))
+    places = at.groupBy("key", "i", "j", "gid").agg(F.collect_list("partner").alias("partners"))
+    places = table(places.join(reps.select("gid", F.col("doc_id").alias("id")), "gid"))
     wanted = table(places.select("id").distinct())
-    # A text comes to each place where its document has a pair to verify, and only there.
+    # A text comes to each place where its group has a pair to verify, and only there.
     texts = keep_ids(d, wanted, "id").alias("t").join(places, F.col("t.doc_id") == F.col("id"))
-    texts = texts.select(F.struct("key", "i", "j").alias("place"), "id", F.col("t.text").alias("text"), "partners")
-    texts = texts.repartition("place").sortWithinPartitions("place", "id").select(F.to_json("place").alias("place"), "id", "text", "partners")
-    return texts.mapInArrow(_verify(n, threshold), PAIRS).unionByName(copies)
+    texts = texts.select(F.struct("key", "i", "j").alias("place"), "gid", F.col("t.text").alias("text"), "partners")
+    texts = texts.repartition("place").sortWithinPartitions("place", "gid").select(F.to_json("place").alias("place"), "gid", "text", "partners")
+    return reps.select("gid", "doc_id"), members, texts.mapInArrow(_verify(n, threshold), PAIRS)
+
+
+def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """Pairs (doc_a < doc_b, jaccard) of documents whose sets of word n-grams have a Jaccard index of threshold or more.
+
+    Words are runs of letters and digits in lower case; a text of fewer than n words is one n-gram. Documents with equal
+    sets form a group, of which one is compared with others; each pair within a group, and each pair between the members of
+    two groups that match, is a row. Nothing is left out but what banding misses (about 1 - recall at the threshold, less
+    above it). Texts that are null or have no word match nothing; rows without doc_id are not looked at; repeated rows count
+    once, and where one doc_id has several texts, each is compared, and the greatest index counts. Other columns are not
+    looked at.
+    """
+    _, members, pairs = _groups(docs, n, threshold, recall, block)
+    return between_members(pairs.withColumnRenamed("jaccard", "score"), members, ("doc_a", "doc_b", "jaccard"))
 
 
 def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
@@ -215,7 +224,14 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that near_duplicates connects with one of smaller doc_id; columns and other rows as they are."""
-    roots = components(table(near_duplicates(docs, **options)))
+def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """docs without those that near_duplicates connects with one of smaller doc_id; columns and other rows as they are.
+
+    What is connected can be told from each member with its representative and the representatives with one another.
+    """
+    reps, members, pairs = _groups(docs, n, threshold, recall, block)
+    a, b = (reps.select(F.col("gid").alias(f"g{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
+    links = pairs.join(a, "ga").join(b, "gb").select("doc_a", "doc_b")
+    links = links.unionByName(members.join(reps, "gid").select(F.col("doc_id").alias("doc_a"), F.col("id").alias("doc_b")).where("doc_a <> doc_b"))
+    roots = components(table(links))
     return keep_ids(docs, table(roots.where("id <> root").select("id")), "id", "left_anti")

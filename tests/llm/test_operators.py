@@ -69,6 +69,23 @@ def test_ngram_join_recall(spark, sf):
     assert kept == {i for i, _ in docs if root(i) == i}
 
 
+def test_ngram_join_lists_every_pair_of_copies(spark, sf):
+    words = [f"w{k}" for k in range(40)]
+    text = {0: " ".join(words), 1: " ".join([*words, "tail"]), 2: " ".join([*words[:38], "other", "end"])}
+    rows = [(i, text[i % 3]) for i in range(30)]
+    df = spark.createDataFrame([*rows, *rows[:7], (90, "alone in this")], "doc_id bigint, text string")
+    got = [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.near_duplicates(df).collect()]
+    sets = {k: ngrams(t) for k, t in text.items()}
+    want = {(a, b): len(sets[a % 3] & sets[b % 3]) / len(sets[a % 3] | sets[b % 3]) for b in range(30) for a in range(b)}
+    assert len(got) == len(want) == 30 * 29 // 2 and {(a, b): pytest.approx(j) for a, b, j in got} == want
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(df).collect()) == [0, 0, 90]
+    # And of the rows returned over a table with copies.
+    docs = [(r.doc_id, ngrams(r.text)) for r in documents(spark, sf).collect()]
+    want = {(min(a, b), max(a, b)) for k, (a, x) in enumerate(docs) for b, y in docs[k + 1 :] if x and y and len(x & y) >= ngram_join.THRESHOLD * len(x | y)}
+    got = [(r.doc_a, r.doc_b) for r in ngram_join.near_duplicates(documents(spark, sf)).collect()]
+    assert len(got) == len(set(got)) and want >= set(got) and len(got) >= 0.95 * len(want)
+
+
 def test_large_buckets_meet_in_blocks(spark):
     words = [f"w{k}" for k in range(40)]
     rows = [(i, " ".join([*words, f"tail{i}"])) for i in range(60)]
