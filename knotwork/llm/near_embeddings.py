@@ -2,7 +2,8 @@
 
 Vectors are rotated at random (signs and a fast Hadamard transform, three times over); the hash is the axis that a rotated
 vector is nearest to, with its sign. A table's key joins some such hashes, and a vector also looks into the buckets that
-come next for it (multiprobe). Pairs that meet are verified by their cosine.
+come next for it (multiprobe). Pairs that meet are verified by their cosine. Of vectors equal after scaling one is hashed and
+verified, and its pairs hold for all of them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from knotwork.session import ship
 
-from ._spark import narrow_ids, table
+from ._spark import between_members, narrow_ids, table
 from ._text import U64, mix
 
 THRESHOLD = 0.95
@@ -26,7 +27,7 @@ HASHES = 3
 PROBES = 3
 BLOCK = 512
 SIGNED = "vec_id bigint, fp1 bigint, fp2 bigint, vector array<float>, own array<bigint>, probes array<bigint>"
-PAIRS = "vec_a bigint, vec_b bigint, cosine double"
+PAIRS = "ga bigint, gb bigint, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -130,7 +131,7 @@ def _verify(threshold: float):
             exact = (x[a].astype(np.float64) * x[b]).sum(1)
             exact /= np.sqrt((x[a].astype(np.float64) ** 2).sum(1) * (x[b].astype(np.float64) ** 2).sum(1))
             ok = exact >= threshold
-            return pa.RecordBatch.from_arrays([pa.array(i[a[ok]]), pa.array(i[b[ok]]), pa.array(np.round(exact[ok], 6))], ["vec_a", "vec_b", "cosine"])
+            return pa.RecordBatch.from_arrays([pa.array(i[a[ok]]), pa.array(i[b[ok]]), pa.array(np.round(exact[ok], 6))], ["ga", "gb", "score"])
 
         for batch in stream:
             lists = batch.column(3)
@@ -151,29 +152,29 @@ def _verify(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, block: int = BLOCK, seed: int = 10) -> DataFrame:
     """Pairs (vec_a < vec_b, cosine) of vectors whose cosine is threshold or more; cosine to six digits.
 
-    Vectors equal after scaling form a group: each member is paired with the least vec_id of its group at 1.0, and only that
-    representative is compared with others. Vectors that are null, empty, zero, or hold a null, NaN or infinity match
-    nothing; nor do vectors of different dimension match. Rows without vec_id are not looked at; repeated rows count once,
-    and where one vec_id has several vectors, each is compared. Other columns are not looked at.
+    Vectors equal after scaling form a group, of which one is compared with others; each pair within a group, at 1.0, and
+    each pair between the members of two groups that match, is a row. Vectors that are null, empty, zero, or hold a null, NaN
+    or infinity match nothing; nor do vectors of different dimension match. Rows without vec_id are not looked at; repeated
+    rows count once, and where one vec_id has several vectors, each is compared, and the greatest cosine counts. Other columns
+    are not looked at.
     """
     ship(vectors.sparkSession)
     d = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     d = d.where("vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)")
     signed = table(d.mapInArrow(_sign(tables, hashes, probes, seed), SIGNED))
-    least = signed.groupBy("fp1", "fp2").agg(F.min("vec_id").alias("rep"))
-    copies = signed.select("fp1", "fp2", "vec_id").join(least, ["fp1", "fp2"]).where("vec_id <> rep")
-    copies = copies.select(F.col("rep").alias("vec_a"), F.col("vec_id").alias("vec_b"), F.lit(1.0).alias("cosine")).distinct()
-    reps = table(signed.groupBy("fp1", "fp2").agg(F.min(F.struct("vec_id", "vector", "own", "probes")).alias("r")).select("r.*"))
-    looks = reps.select("vec_id", F.explode("own").alias("key"), F.lit(True).alias("own")).unionByName(reps.select("vec_id", F.explode("probes").alias("key"), F.lit(False).alias("own")))
+    # A written table keeps the numbers that it is given.
+    reps = table(signed.groupBy("fp1", "fp2").agg(F.min(F.struct("vec_id", "vector", "own", "probes")).alias("r")).select(F.monotonically_increasing_id().alias("gid"), "fp1", "fp2", "r.vector", "r.own", "r.probes"))
+    members = table(signed.select("fp1", "fp2", F.col("vec_id").alias("id")).join(reps.select("fp1", "fp2", "gid"), ["fp1", "fp2"]).select("gid", "id").distinct())
+    looks = reps.select("gid", F.explode("own").alias("key"), F.lit(True).alias("own")).unionByName(reps.select("gid", F.explode("probes").alias("key"), F.lit(False).alias("own")))
     # Buckets worth a visit: with an own member, and another vector. Large ones are met in blocks.
     crowded = looks.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("lived")).where("n > 1 and lived").select("key", F.ceil(F.col("n") / block).alias("blocks"))
     met = table(looks.join(crowded, "key"))
-    mine = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
-    spread = met.select("key", "vec_id", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select(F.struct("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("place"), "vec_id", "own")
-    ids, few = narrow_ids(table(met.select("vec_id").distinct()), "vec_id")
-    found = reps.select("vec_id", "vector").join(ids, F.col("vec_id") == F.col("__kw_id"), "left_semi")
-    rows = spread.join(found, "vec_id").repartition("place").sortWithinPartitions("place", "vec_id")
-    rows = rows.select(F.to_json("place").alias("place"), "vec_id", "own", "vector")
-    pairs = rows.mapInArrow(_verify(threshold), PAIRS).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
-    return pairs.unionByName(copies)
+    mine = F.pmod(F.xxhash64("gid"), F.col("blocks"))
+    spread = met.select("key", "gid", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select(F.struct("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("place"), "gid", "own")
+    ids, few = narrow_ids(table(met.select("gid").distinct()), "gid")
+    found = reps.select("gid", "vector").join(ids, F.col("gid") == F.col("__kw_id"), "left_semi")
+    rows = spread.join(found, "gid").repartition("place").sortWithinPartitions("place", "gid")
+    rows = rows.select(F.to_json("place").alias("place"), "gid", "own", "vector")
+    pairs = rows.mapInArrow(_verify(threshold), PAIRS).groupBy("ga", "gb").agg(F.max("score").alias("score"))
+    return between_members(pairs, members, ("vec_a", "vec_b", "cosine"))

@@ -373,6 +373,20 @@ def test_embeddings_recall(spark):
     assert all(float(x[r.vec_a] @ x[r.vec_b]) == pytest.approx(r.cosine, abs=1e-4) and r.cosine >= 0.95 for r in rows)
 
 
+def test_embeddings_list_every_pair_of_copies(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(12, 32)).astype(np.float32)
+    near = base + 0.02 * r.normal(size=base.shape).astype(np.float32)
+    x = np.vstack([base, 2 * base, base, 4 * base, near, near])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(cosine, 1) >= 0.95), strict=True)}
+    rows = near_embeddings.near_duplicates(df).collect()
+    assert {(p.vec_a, p.vec_b) for p in rows} == want and len(rows) == len(want) == 12 * 15
+    assert all(p.cosine == pytest.approx(cosine[p.vec_a, p.vec_b], abs=1e-5) for p in rows)
+
+
 def test_embedding_blocks(spark):
     r = np.random.default_rng(4)
     x = np.array([1.0] * 16) + r.normal(size=(60, 16)) * 0.02
