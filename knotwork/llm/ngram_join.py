@@ -26,7 +26,7 @@ THRESHOLD = 0.5
 RECALL = 0.96
 #: Buckets of more documents are cut into blocks of about so many, and every two blocks meet.
 BLOCK = 256
-SIGNED = "doc_id bigint, size bigint, fp1 bigint, fp2 bigint, bands array<bigint>"
+SIGNED = "doc_id bigint, version bigint, size bigint, fp1 bigint, fp2 bigint, bands array<bigint>"
 PAIRS = "ga bigint, gb bigint, jaccard double"
 
 
@@ -61,7 +61,7 @@ def _sign(bands: int, rows: int, n: int):
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             for i, j in batches(texts, 500_000):
                 h, d = ngram_sets(texts[i:j], n)
                 count = np.bincount(d, minlength=j - i)
@@ -77,8 +77,8 @@ def _sign(bands: int, rows: int, n: int):
                     folded[band] = key
                 sums = [np.add.reduceat(x, first) for x in (mix(h), mix(h ^ U64(0x5BD1E995)))]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1, dtype=np.int32) * bands), pa.array(folded.T.reshape(-1).view(np.int64)))
-                ids = batch.column(0).slice(i, j - i).take(pa.array(there))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(count[there]), *(pa.array(x.view(np.int64)) for x in sums), lists], ["doc_id", "size", "fp1", "fp2", "bands"])
+                ids = [batch.column(k).slice(i, j - i).take(pa.array(there)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(count[there]), *(pa.array(x.view(np.int64)) for x in sums), lists], ["doc_id", "version", "size", "fp1", "fp2", "bands"])
 
     return run
 
@@ -121,7 +121,7 @@ def _verify_group(ids: np.ndarray, texts: list[str], partners: list[np.ndarray],
 
 
 def _verify(n: int, threshold: float):
-    """Streams rows in order of key; all rows of a key are together, and are verified when the next key begins."""
+    """Streams rows in order of key; all rows of a key are together, by id, and are verified when the next key begins."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, texts, partners = None, [], [], []
@@ -136,6 +136,8 @@ def _verify(n: int, threshold: float):
                 if at != key and ids:
                     yield done()
                     ids, texts, partners = [], [], []
+                if at == key and ids and i == ids[-1]:  # the row is repeated
+                    continue
                 key = at
                 ids.append(i)
                 texts.append(t)
@@ -152,14 +154,16 @@ def _block(id_: Column, blocks: Column) -> Column:
 
 def _groups(docs: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups of documents with equal n-gram sets: (gid, doc_id of the representative), (gid, id of each member), and the
-    verified pairs of groups (ga, gb, jaccard). A document with several texts is in several groups."""
+    verified pairs of groups (ga, gb, jaccard). A document with several texts is in several groups; version tells the texts
+    of one doc_id apart."""
     ship(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
+    d = d.select("doc_id", F.xxhash64("text").alias("version"), "text")
     signed = table(d.mapInArrow(_sign(bands, rows, n), SIGNED))
     same = ["size", "fp1", "fp2"]
     # A written table keeps the numbers that it is given.
-    reps = table(signed.groupBy(*same).agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(F.monotonically_increasing_id().alias("gid"), *same, "r.doc_id", "r.bands"))
+    reps = table(signed.groupBy(*same).agg(F.min(F.struct("doc_id", "version", "bands")).alias("r")).select(F.monotonically_increasing_id().alias("gid"), *same, "r.doc_id", "r.version", "r.bands"))
     members = table(signed.select(*same, F.col("doc_id").alias("id")).join(reps.select(*same, "gid"), same).select("gid", "id").distinct())
     keyed = reps.select("gid", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / block).alias("blocks"))
@@ -179,10 +183,10 @@ def _groups(docs: DataFrame, n: int, threshold: float, recall: float, block: int
     at = pairs.select("key", "i", "j", F.col("x").alias("gid"), F.col("y").alias("partner"))
     at = at.unionByName(pairs.select("key", "i", "j", F.col("y").alias("gid"), F.lit(None).cast("bigint").alias("partner")))
     places = at.groupBy("key", "i", "j", "gid").agg(F.collect_list("partner").alias("partners"))
-    places = table(places.join(reps.select("gid", F.col("doc_id").alias("id")), "gid"))
+    places = table(places.join(reps.select("gid", F.col("doc_id").alias("id"), F.col("version").alias("v")), "gid"))
     wanted = table(places.select("id").distinct())
     # A text comes to each place where its group has a pair to verify, and only there.
-    texts = keep_ids(d, wanted, "id").alias("t").join(places, F.col("t.doc_id") == F.col("id"))
+    texts = keep_ids(d, wanted, "id").alias("t").join(places, (F.col("t.doc_id") == F.col("id")) & (F.col("t.version") == F.col("v")))
     texts = texts.select(F.struct("key", "i", "j").alias("place"), "gid", F.col("t.text").alias("text"), "partners")
     texts = texts.repartition("place").sortWithinPartitions("place", "gid").select(F.to_json("place").alias("place"), "gid", "text", "partners")
     return reps.select("gid", "doc_id"), members, texts.mapInArrow(_verify(n, threshold), PAIRS)

@@ -86,6 +86,18 @@ def test_ngram_join_lists_every_pair_of_copies(spark, sf):
     assert len(got) == len(set(got)) and want >= set(got) and len(got) >= 0.95 * len(want)
 
 
+def test_ngram_join_of_a_document_with_two_texts(spark):
+    def text(k, tail):
+        return " ".join([*(f"w{k}x{i}" for i in range(60)), *tail])
+
+    # 5 is the lesser of a near pair by one text and the greater of another by its other text; its rows are repeated.
+    rows = [(5, text(0, ["a"])), (5, text(1, ["a"])), (9, text(0, ["b"])), (2, text(1, ["b"])), (7, text(2, ["a"])), (7, text(3, ["a"])), (8, text(2, ["b"])), (8, text(3, ["b"]))]
+    df = spark.createDataFrame([*rows, *rows[:3]], "doc_id bigint, text string")
+    got = sorted((r.doc_a, r.doc_b, round(r.jaccard, 6)) for r in ngram_join.near_duplicates(df).collect())
+    j = round(58 / 60, 6)
+    assert got == [(2, 5, j), (5, 9, j), (7, 8, j)]
+
+
 def test_large_buckets_meet_in_blocks(spark):
     words = [f"w{k}" for k in range(40)]
     rows = [(i, " ".join([*words, f"tail{i}"])) for i in range(60)]
