@@ -1,13 +1,15 @@
 """N-gram Jaccard self-join of documents: MinHash banding finds candidate pairs, full n-gram sets verify them.
 
 Band and row counts follow from the threshold and the recall wanted there. Documents with equal n-gram sets are joined
-first, as a group; a representative of each group is banded. A pair of representatives is verified where its first common
-band hash brings it together, once, and large buckets are verified in blocks. A verified pair holds for all members of the
-two groups, and is reported for each two of them.
+first, as a group, by a cryptographic digest of the whole set; a representative of each group is banded. A pair of
+representatives is verified where its first common band hash brings it together, once, and large buckets are verified in
+blocks. A verified pair holds for all members of the two groups; the result tells for each document what it is connected
+with and how many links it has, so it grows with the documents and not with the pairs of a group of copies.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from knotwork.session import ship
 
-from ._spark import between_members, keep_ids, narrow_ids, table
+from ._classes import describe
+from ._spark import keep_ids, narrow_ids, table
 from ._text import U64, WORDS, Codes, batches, mix, ngram_hashes
 
 NGRAM = 3
@@ -32,14 +35,16 @@ PAIRS = "ga bigint, gb bigint, jaccard double"
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
     """(bands, rows): the most rows a band, so the fewest candidates, for which a pair at the threshold is found with
-    probability recall within most hash functions."""
-    best = (most, 1)
+    probability recall within most hash functions. ValueError if no so many find it."""
+    best = None
     for rows in range(1, most + 1):
         p = threshold**rows
         bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
         if bands * rows > most:
             break
         best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{most} hash functions don't reach a recall of {recall} at {threshold}")
     return best
 
 
@@ -67,18 +72,20 @@ def _sign(bands: int, rows: int, n: int):
                 count = np.bincount(d, minlength=j - i)
                 there = np.flatnonzero(count)
                 first = (np.cumsum(count) - count)[there]
-                if not len(there):
-                    continue
-                folded = np.empty((bands, len(there)), U64)
-                for band in range(bands):
-                    key = np.full(len(there), band + 1, U64)
-                    for r in range(band * rows, (band + 1) * rows):
-                        key = mix(key ^ np.minimum.reduceat(h * a[r] + b[r], first))
-                    folded[band] = key
-                sums = [np.add.reduceat(x, first) for x in (mix(h), mix(h ^ U64(0x5BD1E995)))]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1, dtype=np.int32) * bands), pa.array(folded.T.reshape(-1).view(np.int64)))
-                ids = [batch.column(k).slice(i, j - i).take(pa.array(there)) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(count[there]), *(pa.array(x.view(np.int64)) for x in sums), lists], ["doc_id", "version", "size", "fp1", "fp2", "bands"])
+                folded = np.zeros((bands, len(there)), U64)
+                if len(there):
+                    for band in range(bands):
+                        key = np.full(len(there), band + 1, U64)
+                        for r in range(band * rows, (band + 1) * rows):
+                            key = mix(key ^ np.minimum.reduceat(h * a[r] + b[r], first))
+                        folded[band] = key
+                # Sets are sorted, so equal ones have equal bytes.
+                digests = np.zeros((j - i, 2), np.int64)
+                for k, at in zip(there.tolist(), first.tolist(), strict=True):
+                    digests[k] = np.frombuffer(hashlib.blake2b(h[at : at + count[k]].tobytes(), digest_size=16).digest(), np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((count > 0) * bands)).astype(np.int32)), pa.array(folded.T.reshape(-1).view(np.int64)))
+                ids = [batch.column(k).slice(i, j - i) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(count), *(pa.array(np.ascontiguousarray(x)) for x in digests.T), lists], ["doc_id", "version", "size", "fp1", "fp2", "bands"])
 
     return run
 
@@ -152,19 +159,27 @@ def _block(id_: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(id_), blocks)
 
 
-def _groups(docs: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Groups of documents with equal n-gram sets: (gid, doc_id of the representative), (gid, id of each member), and the
-    verified pairs of groups (ga, gb, jaccard). A document with several texts is in several groups; version tells the texts
-    of one doc_id apart."""
+def _documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text in lower case) of the rows with a doc_id; version tells the texts of one doc_id apart."""
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.lower("text"), F.lit("")).alias("text")).where("doc_id is not null")
+    return d.select("doc_id", F.xxhash64("text").alias("version"), "text")
+
+
+def _groups(docs: DataFrame, n: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Groups of documents with equal n-gram sets: (gid, doc_id of the representative); (gid, id, version) of each member;
+    the verified pairs of groups (ga, gb, jaccard); and the identifiers of documents without a word.
+
+    A document with several texts is in several groups.
+    """
     ship(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
-    d = d.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    signed = table(d.mapInArrow(_sign(bands, rows, n), SIGNED))
+    d = _documents(docs)
+    everything = table(d.mapInArrow(_sign(bands, rows, n), SIGNED))
+    signed = everything.where("size > 0")
     same = ["size", "fp1", "fp2"]
     # A written table keeps the numbers that it is given.
     reps = table(signed.groupBy(*same).agg(F.min(F.struct("doc_id", "version", "bands")).alias("r")).select(F.monotonically_increasing_id().alias("gid"), *same, "r.doc_id", "r.version", "r.bands"))
-    members = table(signed.select(*same, F.col("doc_id").alias("id")).join(reps.select(*same, "gid"), same).select("gid", "id").distinct())
+    members = table(signed.select(*same, F.col("doc_id").alias("id"), "version").join(reps.select(*same, "gid"), same).select("gid", "id", "version").distinct())
     keyed = reps.select("gid", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / block).alias("blocks"))
     met = table(keyed.join(crowded, "key"))
@@ -189,53 +204,45 @@ def _groups(docs: DataFrame, n: int, threshold: float, recall: float, block: int
     texts = keep_ids(d, wanted, "id").alias("t").join(places, (F.col("t.doc_id") == F.col("id")) & (F.col("t.version") == F.col("v")))
     texts = texts.select(F.struct("key", "i", "j").alias("place"), "gid", F.col("t.text").alias("text"), "partners")
     texts = texts.repartition("place").sortWithinPartitions("place", "gid").select(F.to_json("place").alias("place"), "gid", "text", "partners")
-    return reps.select("gid", "doc_id"), members, texts.mapInArrow(_verify(n, threshold), PAIRS)
+    blank = everything.where("size = 0").select(F.col("doc_id").alias("id")).distinct()
+    return reps.select("gid", "doc_id"), members, table(texts.mapInArrow(_verify(n, threshold), PAIRS)), blank
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Pairs (doc_a < doc_b, jaccard) of documents whose sets of word n-grams have a Jaccard index of threshold or more.
-
-    Words are runs of letters and digits in lower case; a text of fewer than n words is one n-gram. Documents with equal
-    sets form a group, of which one is compared with others; each pair within a group, and each pair between the members of
-    two groups that match, is a row. Nothing is left out but what banding misses (about 1 - recall at the threshold, less
-    above it). Texts that are null or have no word match nothing; rows without doc_id are not looked at; repeated rows count
-    once, and where one doc_id has several texts, each is compared, and the greatest index counts. Other columns are not
-    looked at.
+    """(doc_id, class_id, links): one row for each document, links being the number of others whose set of word n-grams has a
+    Jaccard index of threshold or more with its own, and class_id the least doc_id that such links connect it with.
+
+    Words are runs of letters and digits in lower case; a text of fewer than n words is one n-gram. Nothing is left out but
+    what banding misses (about 1 - recall at the threshold, less above it); equal sets are never missed. Texts that are null
+    or have no word match nothing, are classes of their own and have no links. Rows without doc_id are not looked at; repeated
+    rows count once. A doc_id with several texts has a row, and counts, for each different n-gram set of them; if it is the
+    least of several classes, they bear the same name. Other columns are not looked at.
     """
-    _, members, pairs = _groups(docs, n, threshold, recall, block)
-    return between_members(pairs.withColumnRenamed("jaccard", "score"), members, ("doc_a", "doc_b", "jaccard"))
+    _, members, pairs, blank = _groups(docs, n, threshold, recall, block)
+    entries = table(members.select("gid", "id").distinct())
+    told = entries.join(describe(pairs, entries), "gid").select(F.col("id").alias("doc_id"), "class_id", "links")
+    return told.unionByName(blank.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("links")))
 
 
-def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, root) for each document in pairs: the least identifier that pairs connect it with.
-
-    Large-star and small-star rounds in turn; each is a written table, and every round at least halves long chains.
-    """
-    edges = table(pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct()
-        new = table(small)
-        changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
-            roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
-            return table(roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()))
-    raise RuntimeError("the components did not settle")
+def matches(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """(doc_a, doc_b, jaccard): the verified pairs of different n-gram sets, each named by the least doc_id that has it."""
+    reps, _, pairs, _ = _groups(docs, n, threshold, recall, block)
+    a, b = (reps.select(F.col("gid").alias(f"g{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
+    return pairs.join(a, "ga").join(b, "gb").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
 
 
 def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """docs without those that near_duplicates connects with one of smaller doc_id; columns and other rows as they are.
+    """docs with one text of each class that near_duplicates finds: that of least doc_id. Columns and other rows as they are.
 
-    What is connected can be told from each member with its representative and the representatives with one another.
+    Of several texts of that doc_id one stays; where a doc_id has texts in several classes, each is judged for itself. Rows
+    that repeat both doc_id and text stay or go together. Rows without doc_id, and texts that are null or have no word, stay.
     """
-    reps, members, pairs = _groups(docs, n, threshold, recall, block)
-    a, b = (reps.select(F.col("gid").alias(f"g{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
-    links = pairs.join(a, "ga").join(b, "gb").select("doc_a", "doc_b")
-    links = links.unionByName(members.join(reps, "gid").select(F.col("doc_id").alias("doc_a"), F.col("id").alias("doc_b")).where("doc_a <> doc_b"))
-    roots = components(table(links))
-    return keep_ids(docs, table(roots.where("id <> root").select("id")), "id", "left_anti")
+    _, members, pairs, _ = _groups(docs, n, threshold, recall, block)
+    told = members.join(describe(pairs, table(members.select("gid", "id").distinct())).select("gid", "root"), "gid")
+    kept = told.groupBy("root").agg(F.min(F.struct("id", "version")).alias("k"), F.count("*").alias("m")).where("m > 1")
+    lost = table(told.join(kept, "root").where("id <> k.id or version <> k.version").select("id", "version"))
+    _, few = narrow_ids(lost, "id")
+    gone = lost.select(F.col("id").alias("__kw_id"), F.col("version").alias("__kw_version"))
+    left = docs.alias("__kw_docs")
+    version = F.xxhash64(F.coalesce(F.lower("__kw_docs.text"), F.lit("")))
+    return left.join(F.broadcast(gone) if few else gone, (F.col("__kw_docs.doc_id").cast("bigint") == F.col("__kw_id")) & (version == F.col("__kw_version")), "left_anti")
