@@ -171,3 +171,16 @@ class Memo:
             self.keys = np.insert(self.keys, at[new], keys[new])
             self.values = np.insert(self.values, at[new], result[new], axis=0)
         return result
+
+
+_KEPT: dict[str, tuple[str, object]] = {}
+
+
+def kept(name: str, run: str, make: Callable[[], object]) -> object:
+    """make(), once a worker process for each run (a unique text); of each name only the last run's is kept.
+
+    Workers serve many tasks, so what a memo has learned in one task is not computed again in the next.
+    """
+    if name not in _KEPT or _KEPT[name][0] != run:
+        _KEPT[name] = (run, make())
+    return _KEPT[name][1]
