@@ -2,12 +2,14 @@
 
 Vectors are rotated at random (signs and a fast Hadamard transform, three times over); the hash is the axis that a rotated
 vector is nearest to, with its sign. A table's key joins some such hashes, and a vector also looks into the buckets that
-come next for it (multiprobe). Pairs that meet are verified by their cosine. Of vectors equal after scaling one is hashed and
-verified, and its pairs hold for all of them.
+come next for it (multiprobe). Pairs that meet are verified by their cosine. Of vectors equal after scaling, as a cryptographic
+digest of them tells, one is hashed and verified, and its pairs hold for all of them. The result tells for each vector what it
+is connected with and how many links it has, so it grows with the vectors and not with the pairs of a group of copies.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from knotwork.session import ship
 
-from ._spark import between_members, narrow_ids, table
+from ._classes import describe
+from ._spark import narrow_ids, table
 from ._text import U64, mix
 
 THRESHOLD = 0.95
@@ -106,11 +109,9 @@ def _sign(tables: int, hashes: int, probes: int, seed: int):
                     wide[:, :dim] = v
                     own, others = keys(wide, tables, hashes, probes, seed)
                     salt = mix(np.array([dim], U64))  # vectors of different length don't meet
-                    bits = (v + np.float32(0)).view(np.uint32).astype(U64)
-                    place = np.arange(1, dim + 1, dtype=U64)
-                    prints = [mix(bits * U64(0x9E3779B97F4A7C15) + place * U64(k)).sum(1, dtype=U64) for k in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+                    prints = np.array([np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in v + np.float32(0)])  # no negative zeros
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[here[i : i + 4096]]), *(pa.array(p.view(np.int64)) for p in prints), _lists(v, pa.float32()), _lists((own ^ salt).view(np.int64), pa.int64()), _lists((others ^ salt).view(np.int64), pa.int64())],
+                        [pa.array(ids[here[i : i + 4096]]), *(pa.array(np.ascontiguousarray(p)) for p in prints.T), _lists(v, pa.float32()), _lists((own ^ salt).view(np.int64), pa.int64()), _lists((others ^ salt).view(np.int64), pa.int64())],
                         ["vec_id", "fp1", "fp2", "vector", "own", "probes"],
                     )
 
@@ -149,15 +150,8 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, block: int = BLOCK, seed: int = 10) -> DataFrame:
-    """Pairs (vec_a < vec_b, cosine) of vectors whose cosine is threshold or more; cosine to six digits.
-
-    Vectors equal after scaling form a group, of which one is compared with others; each pair within a group, at 1.0, and
-    each pair between the members of two groups that match, is a row. Vectors that are null, empty, zero, or hold a null, NaN
-    or infinity match nothing; nor do vectors of different dimension match. Rows without vec_id are not looked at; repeated
-    rows count once, and where one vec_id has several vectors, each is compared, and the greatest cosine counts. Other columns
-    are not looked at.
-    """
+def _groups(vectors: DataFrame, threshold: float, tables: int, hashes: int, probes: int, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal vectors: (gid, id) of each member, and the verified pairs of groups (ga, gb, score); written tables."""
     ship(vectors.sparkSession)
     d = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     d = d.where("vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)")
@@ -172,9 +166,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     mine = F.pmod(F.xxhash64("gid"), F.col("blocks"))
     spread = met.select("key", "gid", "own", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     spread = spread.select(F.struct("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("place"), "gid", "own")
-    ids, few = narrow_ids(table(met.select("gid").distinct()), "gid")
+    ids, _ = narrow_ids(table(met.select("gid").distinct()), "gid")
     found = reps.select("gid", "vector").join(ids, F.col("gid") == F.col("__kw_id"), "left_semi")
     rows = spread.join(found, "gid").repartition("place").sortWithinPartitions("place", "gid")
     rows = rows.select(F.to_json("place").alias("place"), "gid", "own", "vector")
     pairs = rows.mapInArrow(_verify(threshold), PAIRS).groupBy("ga", "gb").agg(F.max("score").alias("score"))
-    return between_members(pairs, members, ("vec_a", "vec_b", "cosine"))
+    return members, table(pairs)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, block: int = BLOCK, seed: int = 10) -> DataFrame:
+    """(vec_id, class_id, links): one row for each vector, links being the number of others whose cosine with it is threshold
+    or more, and class_id the least vec_id that such links connect it with.
+
+    Nothing is left out but what hashing misses; vectors equal after scaling are never missed. Vectors that are null, empty,
+    zero, or hold a null, NaN or infinity match nothing, are classes of their own and have no links; nor do vectors of
+    different dimension match. Rows without vec_id are not looked at; repeated rows count once. A vec_id with several
+    different vectors has a row, and counts, for each; if it is the least of several classes, they bear the same name. Other
+    columns are not looked at.
+    """
+    members, pairs = _groups(vectors, threshold, tables, hashes, probes, block, seed)
+    entries = members.select("gid", "id")
+    told = entries.join(describe(pairs, entries), "gid").select(F.col("id").alias("vec_id"), "class_id", "links")
+    every = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).where("vec_id is not null").distinct()
+    lone = every.join(entries.select(F.col("id").alias("vec_id")), "vec_id", "left_anti")
+    return told.unionByName(lone.select("vec_id", F.col("vec_id").alias("class_id"), F.lit(0).cast("bigint").alias("links")))
+
+
+def matches(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, block: int = BLOCK, seed: int = 10) -> DataFrame:
+    """(vec_a, vec_b, cosine): the verified pairs of different vectors, each named by the least vec_id that has it; six digits."""
+    members, pairs = _groups(vectors, threshold, tables, hashes, probes, block, seed)
+    least = members.groupBy("gid").agg(F.min("id").alias("id"))
+    a, b = (least.select(F.col("gid").alias(f"g{x}"), F.col("id").alias(f"v{x}")) for x in "ab")
+    return pairs.join(a, "ga").join(b, "gb").select(F.least("va", "vb").alias("vec_a"), F.greatest("va", "vb").alias("vec_b"), F.col("score").alias("cosine"))
