@@ -1,18 +1,25 @@
-"""Toxicity by a support vector machine on a subsequence string kernel, with Nyström landmarks.
+"""Toxicity by a support vector machine on a subsequence string kernel, with Nyström landmarks, trained on labelled sentences.
 
 The kernel of two strings counts the subsequences of four characters that they share; each occurrence weighs LAMBDA for
 every character that it skips, and spans at most SPAN characters. So an insult with characters put between its own, or with
-other endings, still resembles itself. Landmarks give strings coordinates in which a linear machine is trained. Its
-decision is a sum over the subsequences of a string, so it folds into one table of weights, and scoring a string needs no
-kernel evaluation at all.
+other endings, still resembles itself. Landmarks give strings coordinates in which a linear machine is trained.
+
+Sentences bear the labels of their documents, so they are learned from as bags of parts (a multiple-instance machine): a part
+is a word without its outer or without all its marks, or some short pieces joined, and the decision of a sentence is that of
+its most toxic part. Of a clean sentence every part is an example; of a toxic one the part that the machine of the turn
+before finds most toxic. A part is looked at in windows of WINDOW characters, half of that apart, and counts as its most toxic
+window; most parts are one window. The decision of a window is a sum over its subsequences, so it folds into weights for the
+subsequences of the landmarks, and scoring needs no kernel evaluation at all.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -21,21 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import share
-from ._text import CHUNKS, Codes, Memo, batches, distinct
+from ._text import CHUNKS, U64, WORDS, Codes, Memo, batches, distinct, kept
 from .quality import sample
 
 ORDER = 4
 SPAN = 8
 LAMBDA = 0.6
-#: Characters that have a place of their own in the table; the others share one.
-ALPHABET = 42
-LANDMARKS = 96
+LANDMARKS = 160
 PER_CLASS = 1000
-#: Longer strings are scored in overlapping windows of so many characters.
 WINDOW = 32
+#: Unknown words of at most so many characters may be pieces of one.
+PIECE = 4
 RESULT = "doc_id bigint, toxic boolean, score double, hits bigint"
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-SPACED = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){2,}\w(?!\w)")
 
 _OFFSETS = np.array([(0, *c) for c in combinations(range(1, SPAN), ORDER - 1)])
 _DECAY = (LAMBDA ** (_OFFSETS[:, -1] + 1 - ORDER)).astype(np.float32)
@@ -43,22 +48,17 @@ _DECAY = (LAMBDA ** (_OFFSETS[:, -1] + 1 - ORDER)).astype(np.float32)
 
 @dataclass
 class Alphabet:
-    """Places of characters: 0 none, 1 start, 2 end, 3 any other, then the characters known."""
+    """Places of characters: 0 none, 1 start, 2 end, then each character of some strings; no other can be in what they share."""
 
     codes: np.ndarray  # sorted code points
 
     @property
     def size(self) -> int:
-        return len(self.codes) + 4
+        return len(self.codes) + 3
 
     @classmethod
-    def of(cls, strings: Counter) -> Alphabet:
-        n: Counter = Counter()
-        for s, k in strings.items():
-            for c in s:
-                n[c] += k
-        top = sorted(c for c, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-        return cls(np.array([ord(c) for c in top], np.int64))
+    def of(cls, strings: Iterable[str]) -> Alphabet:
+        return cls(np.array(sorted({ord(c) for s in strings for c in s}), np.int64))
 
     def encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all strings end to end, each with its start, its end and SPAN zeros, and where each begins."""
@@ -68,9 +68,9 @@ class Alphabet:
         out = np.zeros(int((lengths + 2 + SPAN).sum()), np.int64)
         if len(self.codes):
             at = np.minimum(np.searchsorted(self.codes, c.codes), len(self.codes) - 1)
-            place = np.where(self.codes[at] == c.codes, at + 4, 3)
+            place = np.where(self.codes[at] == c.codes, at + 3, 0)
         else:
-            place = np.full(len(c.codes), 3)
+            place = np.zeros(len(c.codes), np.int64)
         out[np.arange(len(c.codes)) + np.repeat(starts + 1 - c.offsets[:-1], lengths)] = place
         out[starts] = 1
         out[starts + lengths + 1] = 2
@@ -84,64 +84,73 @@ def _subsequences(places: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, n
         return
     firsts = np.flatnonzero(places[:n] > 0)
     columns = [places[firsts + k] for k in range(SPAN)]
+    there = [c > 0 for c in columns]
     for offsets, weight in zip(_OFFSETS, _DECAY, strict=True):
-        number, there = columns[0], np.ones(len(firsts), bool)
+        ok = np.flatnonzero(there[offsets[1]] & there[offsets[2]] & there[offsets[3]])
+        number = columns[0][ok]
         for o in offsets[1:]:
-            number = number * size + columns[o]
-            there &= columns[o] > 0
-        yield firsts[there], number[there], weight
+            number = number * size + columns[o][ok]
+        yield firsts[ok], number, weight
+
+
+class Keys:
+    """A set of subsequence numbers; a filter keeps most that aren't in it from being searched for."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys  # sorted
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[self._slots(keys)] = True
+
+    @staticmethod
+    def _slots(numbers: np.ndarray) -> np.ndarray:
+        return ((numbers.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(44)).astype(np.int64)
+
+    def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the numbers are in the set, and their places there."""
+        maybe = np.flatnonzero(self.filter[self._slots(numbers)])
+        at = np.minimum(np.searchsorted(self.keys, numbers[maybe]), len(self.keys) - 1)
+        ok = self.keys[at] == numbers[maybe] if len(self.keys) else np.zeros(0, bool)
+        return maybe[ok], at[ok]
+
+
+def _landmark_table(landmarks: list[str], alphabet: Alphabet) -> tuple[Keys, np.ndarray, np.ndarray]:
+    """The landmarks' subsequences, the weight of each in each landmark, and the landmarks' norms."""
+    places, starts = alphabet.encode(landmarks)
+    rows, columns, values = [], [], []
+    for at, number, weight in _subsequences(places, alphabet.size):
+        rows.append(number)
+        columns.append(np.searchsorted(starts, at, "right") - 1)
+        values.append(np.full(len(number), weight))
+    keys, inverse = np.unique(np.concatenate(rows), return_inverse=True) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    table = np.zeros((len(keys), len(landmarks)))
+    if rows:
+        np.add.at(table, (inverse, np.concatenate(columns)), np.concatenate(values))
+    return Keys(keys), table, np.sqrt((table**2).sum(0)) + 1e-12
 
 
 def kernel(strings: list[str], landmarks: list[str], alphabet: Alphabet) -> np.ndarray:
     """Subsequence kernel of each string with each landmark, landmarks scaled to a norm of 1."""
-    size = alphabet.size
-    columns, rows, values = [], [], []
-    for j, t in enumerate(landmarks):
-        places, _ = alphabet.encode([t])
-        for _, number, weight in _subsequences(places, size):
-            columns.append(np.full(len(number), j))
-            rows.append(number)
-            values.append(np.full(len(number), weight))
-    rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
-    keys, inverse = np.unique(rows, return_inverse=True)
-    table = np.zeros((len(keys), len(landmarks)))
-    np.add.at(table, (inverse, columns), values)
-    table /= np.sqrt((table**2).sum(0)) + 1e-12
+    keys, table, norms = _landmark_table(landmarks, alphabet)
+    table = table / norms
     out = np.zeros((len(strings), len(landmarks)))
-    block = max(1, 4_000_000 // (len(keys) + 1))
-    for i in range(0, len(strings), block):
-        places, starts = alphabet.encode(strings[i : i + block])
-        cells, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for at, number, weight in _subsequences(places, size):
-            k = np.minimum(np.searchsorted(keys, number), len(keys) - 1)
-            hit = keys[k] == number
-            cells.append((np.searchsorted(starts, at[hit], "right") - 1) * len(keys) + k[hit])
-            weights.append(np.full(len(cells[-1]), weight))
-        counts = np.bincount(np.concatenate(cells), np.concatenate(weights), len(starts) * len(keys))
-        out[i : i + block] = counts.reshape(len(starts), len(keys)) @ table
+    for i in range(0, len(strings), 5_000):
+        places, starts = alphabet.encode(strings[i : i + 5_000])
+        for at, number, weight in _subsequences(places, alphabet.size):
+            hit, k = keys.find(number)
+            for j in range(0, len(hit), 100_000):
+                part = slice(j, j + 100_000)
+                np.add.at(out, i + np.searchsorted(starts, at[hit[part]], "right") - 1, weight * table[k[part]])
     return out
 
 
-def fold(weights: np.ndarray, landmarks: list[str], alphabet: Alphabet) -> np.ndarray:
-    """The table of what each subsequence adds to the decision sum_j weights[j] * kernel(., landmark j)."""
-    size = alphabet.size
-    table = np.zeros(size**ORDER, np.float32)
-    for w, t in zip(weights, landmarks, strict=True):
-        places, _ = alphabet.encode([t])
-        own: Counter = Counter()
-        for _, number, weight in _subsequences(places, size):
-            for n in number.tolist():
-                own[n] += float(weight)
-        norm = sum(v * v for v in own.values()) ** 0.5 + 1e-12
-        for n, v in own.items():
-            table[n] += w * v / norm
-    return table
+def fold(weights: np.ndarray, landmarks: list[str], alphabet: Alphabet) -> tuple[Keys, np.ndarray]:
+    """What each subsequence adds to the decision sum_j weights[j] * kernel(., landmark j); others add nothing."""
+    keys, table, norms = _landmark_table(landmarks, alphabet)
+    return keys, (table @ (weights / norms)).astype(np.float32)
 
 
-def windows(chunk: str) -> list[str]:
-    if len(chunk) <= WINDOW:
-        return [chunk]
-    return [chunk[k : k + WINDOW] for k in range(0, len(chunk) - WINDOW // 2, WINDOW // 2)]
+def windows(string: str) -> list[str]:
+    return [string[k : k + WINDOW] for k in range(0, max(1, len(string) - WINDOW // 2), WINDOW // 2)]
 
 
 _PUNCTUATION = re.compile(r"[\W_]+")
@@ -161,16 +170,23 @@ def variants(chunk: str) -> list[str]:
     return windows(inner) if inner == bare else windows(inner) + windows(bare)
 
 
-def spaced(text: str) -> list[str]:
-    """Runs of three or more single characters with spaces between, joined."""
-    return [_PUNCTUATION.sub("", m.group()) for m in SPACED.finditer(text)]
+def sentence_starts(c: Codes, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which of the chunks begin a sentence: after a mark that ends one, a new line, or another text."""
+    first = np.ones(len(starts), bool)
+    lines = np.append(0, np.cumsum(c.codes == 10))
+    first[1:] = (doc[1:] != doc[:-1]) | np.isin(c.codes[ends[:-1] - 1], [ord(x) for x in ".!?"]) | (lines[starts[1:]] > lines[ends[:-1]])
+    return first
 
 
 @dataclass
 class Model:
+    """known: sorted hashes of words that clean sentences have; these are not pieces of others."""
+
     alphabet: Alphabet
-    table: np.ndarray
+    keys: Keys
+    values: np.ndarray
     bias: float
+    known: np.ndarray
 
     def strings(self, strings: list[str]) -> np.ndarray:
         out = np.full(len(strings), self.bias)
@@ -178,7 +194,8 @@ class Model:
             places, starts = self.alphabet.encode(strings[i : i + 20_000])
             sums = np.zeros(len(places) + 1, np.float64)
             for at, number, weight in _subsequences(places, self.alphabet.size):
-                sums[at + 1] += weight * self.table[number]
+                hit, k = self.keys.find(number)
+                sums[at[hit] + 1] += weight * self.values[k]
             np.cumsum(sums, out=sums)
             out[i : i + 20_000] += sums[np.append(starts[1:], len(places))] - sums[starts]
         return out
@@ -196,7 +213,7 @@ class Model:
         return out
 
     def texts(self, texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-        """Greatest score and number of positive chunks of each text, in lower case."""
+        """Greatest score of a sentence and number of positive sentences of each text, in lower case."""
         best, hits = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
         for i, j in batches(texts):
             c = Codes(texts[i:j])
@@ -206,17 +223,24 @@ class Model:
             joined = "".join(texts[i:j])
             keys, first, inverse = distinct(c.hashes(starts, ends))
             score = memo.get(keys, lambda new: self.chunks([joined[starts[f] : ends[f]] for f in first[new]]))[:, 0][inverse]
+            # Pieces of a word: single characters, and short words that clean sentences lack; two or more in a row are joined.
+            letters = np.append(0, np.cumsum(c.member(WORDS)))
+            bare = letters[ends] - letters[starts]
+            at = np.minimum(np.searchsorted(self.known, keys), max(0, len(self.known) - 1))
+            strange = (self.known[at] != keys)[inverse] if len(self.known) else np.ones(len(starts), bool)
+            piece = (bare == 1) | ((bare > 0) & (bare <= PIECE) & strange)
+            follows = np.zeros(len(piece) + 1, bool)
+            follows[1:-1] = piece[1:] & piece[:-1] & (doc[1:] == doc[:-1])
+            run, end = np.flatnonzero(~follows[:-1] & follows[1:]), np.flatnonzero(follows[:-1] & ~follows[1:])
+            long = letters[ends[end]] - letters[starts[run]] >= ORDER
+            run, end = run[long], end[long]
+            if len(run):
+                v = self.chunks([_PUNCTUATION.sub("", joined[starts[a] : ends[b]]) for a, b in zip(run, end, strict=True)])
+                np.maximum.at(score, run, v)
             np.maximum.at(best, i + doc, score)
-            hits[i:j] += np.bincount(doc[score > 0], minlength=j - i)
-            # Single characters in a row: chunks of one character, found on the array, joined one by one.
-            single = ends - starts == 1
-            run = single[2:] & single[1:-1] & single[:-2] & (doc[2:] == doc[:-2]) if len(single) > 2 else np.zeros(0, bool)
-            for k in np.unique(doc[2:][run]) if len(run) else ():
-                s = [w for x in spaced(texts[i + k]) for w in windows(x)]
-                if s:
-                    v = self.strings(s)
-                    best[i + k] = max(best[i + k], v.max())
-                    hits[i + k] += int((v > 0).sum())
+            sentence = np.cumsum(sentence_starts(c, starts, ends, doc)) - 1
+            toxic, where = np.unique(sentence[score > 0], return_index=True)
+            hits[i:j] += np.bincount(doc[score > 0][where], minlength=j - i)
         return best, hits
 
 
@@ -250,124 +274,114 @@ def obfuscations(s: str, seed: int) -> list[str]:
     return [s[:k] + "xqjz"[int(r.integers(4))] + s[k:], "-".join(s)]
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, seed: int = 2) -> Model:
-    """labels: 1 toxic, 0 clean, of texts in any case.
+def _sentences(texts: list[str]) -> list[list[set[str]]]:
+    """The parts of each sentence of each text."""
+    return [[{v for chunk in sentence.split() for v in variants(chunk)} for sentence in SENTENCE.split(t.lower())] for t in texts]
 
-    A clean text's sentences are all clean; of a toxic text's, some are not. Which of its strings witness that is settled
-    in turns: at first those whose character runs tell toxic texts from clean ones, then those that the machine scores
-    highest. Without both labels nothing is toxic.
+
+def fit(texts: list[str], labels: np.ndarray, turns: int = 3, seed: int = 2) -> Model:
+    """labels: 1 toxic, 0 clean, of texts in any case; their sentences bear them.
+
+    Which part of a toxic sentence witnesses its label is settled in turns. At first it is the part whose character runs are
+    commonest in toxic sentences against clean ones, in the sentences where that is clear and in the one of each toxic text
+    where it is most so; then it is what the machine of the turn before scores highest in every sentence that it finds toxic, and in the likeliest one
+    of a text in which it finds none. A part that clean texts have is no witness, unless it is far commoner in toxic
+    ones: labels err. Without both labels nothing is toxic.
     """
-    toxic_docs: list[Counter] = []
-    clean_docs: list[Counter] = []
-    for t, y in zip(texts, labels, strict=True):
-        units: Counter = Counter()
-        for sentence in SENTENCE.split(t.lower()):
-            for chunk in sentence.split():
-                units.update(variants(chunk))
-        (toxic_docs if y else clean_docs).append(units)
-    clean: Counter = Counter()
-    for u in clean_docs:
-        clean.update(u.keys())
-    by_toxic: Counter = Counter()
-    for u in toxic_docs:
-        by_toxic.update(u.keys())
-    everything = clean + by_toxic
-    # Labels err: a string that is far commoner in toxic documents is not clean because a clean document has it.
+    y = np.asarray(labels) == 1
+    bags = _sentences(texts)
+    toxic_docs = [b for b, t in zip(bags, y, strict=True) if t]
+    clean_docs = [b for b, t in zip(bags, y, strict=True) if not t]
+    in_clean, in_toxic = (Counter(p for b in docs for p in set().union(*b)) for docs in (clean_docs, toxic_docs))
+    chunks = Counter(c for t, toxic in zip(texts, y, strict=True) if not toxic for c in set(t.lower().split()))
+    known = Codes(sorted(c for c, n in chunks.items() if n > 1))
+    known = np.unique(known.hashes(known.offsets[:-1], known.offsets[1:]))
+    none = Model(Alphabet.of(()), Keys(np.zeros(0, np.int64)), np.zeros(0, np.float32), -1.0, known)
     a, b = len(toxic_docs), len(clean_docs)
-    clean = Counter({w: n for w, n in clean.items() if by_toxic[w] < 5 or by_toxic[w] * b < 8 * n * a})
-    alphabet = Alphabet.of(everything)
-    none = Model(alphabet, np.zeros(alphabet.size**ORDER, np.float32), -1.0)
-    if not toxic_docs or not clean_docs:
+    if not a or not b:
         return none
+    clean = {p for p, n in in_clean.items() if in_toxic[p] < 5 or in_toxic[p] * b < 8 * n * a}
 
     def runs(s: str) -> set[str]:
         s = f"^{s}$"
         return {s[k : k + n] for n in (4, 5) for k in range(len(s) - n + 1)}
 
-    in_clean: Counter = Counter()
-    for u in clean_docs:
-        in_clean.update(set().union(*map(runs, u)) if u else ())
-    in_toxic: Counter = Counter()
-    for u in toxic_docs:
-        in_toxic.update(set().union(*map(runs, u)) if u else ())
-    # Evidence of a run: by how much its frequency among toxic documents exceeds what clean ones make likely.
-    odds = {g: np.log((n + 0.1) / (a + 1)) - np.log((in_clean[g] + 0.5) / (b + 1)) for g, n in in_toxic.items() if n >= 3}
-    strength = {g: v * np.sqrt(in_toxic[g]) for g, v in odds.items() if v > 1.5}
-
-    telling = {g for g, v in odds.items() if v > 4 and in_toxic[g] >= max(8, a // 50)}
-
-    def first_score(s: str) -> float:
-        return max((strength.get(g, 0.0) for g in runs(s)), default=0.0)
-
-    clean_words = sorted(clean)
-    witnesses: set[str] = set()
-    sure: set[str] = set()
-    for u in toxic_docs:
-        scored = sorted(((first_score(s), s) for s in u if s not in clean), reverse=True)
-        witnesses.update(s for v, s in scored[:1] if v > 0)
-        sure.update(s for _, s in scored if not telling.isdisjoint(runs(s)))
-    witnesses |= sure
-    if not witnesses:
-        return none
+    runs_of = {p: runs(p) for p in in_clean.keys() | in_toxic.keys()}
+    sentences = {True: [s for d in toxic_docs for s in d if s], False: [s for d in clean_docs for s in d if s]}
+    times = {kind: Counter(g for s in of for g in set().union(*(runs_of[p] for p in s))) for kind, of in sentences.items()}
+    share = {kind: max(1, len(of)) for kind, of in sentences.items()}
+    # By how much a run's frequency among toxic sentences exceeds what clean ones make likely, and how sure that is.
+    odds = {g: np.log((n + 0.1) / share[True]) - np.log((times[False][g] + 0.5) / share[False]) for g, n in times[True].items() if n >= 3}
+    strength = {g: v * np.sqrt(times[True][g]) for g, v in odds.items() if v > 1.5}
+
+    @cache
+    def evidence(part: str) -> float:
+        return max((strength.get(g, 0.0) for g in runs_of[part]), default=0.0)
+
+    def most(parts: Iterable[str], score: Callable[[str], float]) -> tuple[float, str] | None:
+        return max(((score(p), p) for p in parts if p not in clean), default=None)
+
+    # What many toxic sentences and hardly any clean ones have tells of each sentence; otherwise of the text's likeliest one.
+    telling = min((strength[g] for g, v in odds.items() if v > 4 and times[True][g] >= max(8, a // 50)), default=np.inf)
+    witnesses: Counter = Counter()
+    for doc in toxic_docs:
+        found = [f for s in doc if (f := most(s, evidence)) and f[0] > 0]
+        witnesses.update(p for v, p in found if v >= telling or v == max(found)[0])
     r = np.random.default_rng(seed)
-    # Hard clean strings: those that share the tell-tale runs, and a random lot.
-    ranked = sorted(clean_words, key=lambda s: (-first_score(s), s))
-    negatives = set(ranked[:1500]) | {clean_words[k] for k in r.permutation(len(clean_words))[:4000]}
+    clean_parts = sorted(clean)
+    # Hard clean parts: those that share the tell-tale runs, and a random lot.
+    hard = sorted(clean_parts, key=lambda p: (-evidence(p), p))
+    negatives = set(hard[:1500]) | {clean_parts[k] for k in r.permutation(len(clean_parts))[:4000]}
+    toxic_parts = sorted(set(in_toxic) - clean)
     model = none
-    for turn in range(rounds):
-        order = [w for w, _ in sorted(((w, by_toxic[w]) for w in witnesses), key=lambda x: (-x[1], x[0]))]
-        half = LANDMARKS * 2 // 3
-        # Landmarks: the commonest witnesses by document, then the hardest clean strings.
-        landmarks = order[:half]
-        hard = model.strings(clean_words) if turn else np.array([first_score(s) for s in clean_words])
-        landmarks += [clean_words[k] for k in np.argsort(-hard, kind="stable") if clean_words[k] not in witnesses][: LANDMARKS - len(landmarks)]
-        variations = [(x, by_toxic[s]) for k, s in enumerate(order) if len(s) >= 4 for x in obfuscations(s, seed + k)]
-        positives = order + [x for x, _ in variations]
-        often = np.sqrt([by_toxic[s] for s in order] + [n for _, n in variations])
-        strings = positives + sorted(negatives - witnesses)
-        y = np.array([1.0] * len(positives) + [-1.0] * (len(strings) - len(positives)))
-        k = kernel(strings, landmarks, alphabet)
-        values, vectors = np.linalg.eigh(kernel(landmarks, landmarks, alphabet) / np.maximum(1e-12, _norms(landmarks, alphabet))[:, None])
-        good = values > 1e-6 * values.max()
-        project = vectors[:, good] / np.sqrt(values[good])
-        x = np.hstack([k @ project, np.full((len(strings), 1), 1.0)])
-        # A common witness weighs more than one that a single document vouches for; variations count less than what was seen.
-        cost = np.concatenate([often * np.where(np.arange(len(positives)) < len(order), 2.0, 0.3), np.full(len(strings) - len(positives), 4.0)])
-        w = _svm(x, y, cost)
-        model = Model(alphabet, fold(project @ w[:-1], landmarks, alphabet), float(w[-1]))
-        scores = model.strings(clean_words)
-        negatives |= {clean_words[k] for k in np.argsort(-scores, kind="stable")[:1500]}
-        witnesses = set(sure)
-        for u in toxic_docs:
-            units = [s for s in u if s not in clean]
-            if units:
-                v = model.strings(units)
-                witnesses.update(s for s, score in zip(units, v, strict=True) if score > 0)
-                if v.max() > -0.5:
-                    witnesses.add(units[int(v.argmax())])
+    for _ in range(turns):
         if not witnesses:
             return none
-    # Between the clean strings and nearly all toxic documents lies a gap: the decision moves up a quarter of it, since there
-    # are far more clean strings to come than were shown.
-    top = float(model.strings(clean_words).max())
-    low = float(np.quantile([model.strings(list(u)).max() if u else model.bias for u in toxic_docs], 0.02))
-    if low > top:
-        model.bias -= top + (low - top) / 4
+        order = sorted(witnesses, key=lambda p: (-witnesses[p], p))
+        # Landmarks: the commonest witnesses, then the hardest clean parts.
+        landmarks = order[: LANDMARKS * 2 // 3]
+        landmarks += [p for p in hard if p not in witnesses][: LANDMARKS - len(landmarks)]
+        alphabet = Alphabet.of(landmarks)
+        variations = [(x, witnesses[p]) for k, p in enumerate(order) if len(p) >= 4 for x in obfuscations(p, seed + k)]
+        strings = order + [x for x, _ in variations]
+        often = np.sqrt([witnesses[p] for p in order] + [n for _, n in variations])
+        n_toxic = len(strings)
+        clean_ones = sorted(negatives - set(witnesses))
+        strings += clean_ones
+        # What many sentences vouch for weighs more than what one does; variations count less than what was seen.
+        cost = np.concatenate([often * np.where(np.arange(n_toxic) < len(order), 2.0, 0.3), 4.0 * np.sqrt([in_clean[p] for p in clean_ones])])
+        norms = _landmark_table(landmarks, alphabet)[2]
+        values, vectors = np.linalg.eigh(kernel(landmarks, landmarks, alphabet) / norms[:, None])
+        good = values > 1e-6 * values.max()
+        project = vectors[:, good] / np.sqrt(values[good])
+        x = np.hstack([kernel(strings, landmarks, alphabet) @ project, np.ones((len(strings), 1))])
+        w = _svm(x, np.where(np.arange(len(strings)) < n_toxic, 1.0, -1.0), cost)
+        model = Model(alphabet, *fold(project @ w[:-1], landmarks, alphabet), float(w[-1]), known)
+        of_clean = model.strings(clean_parts)
+        hard = [clean_parts[k] for k in np.argsort(-of_clean, kind="stable")]
+        negatives |= set(hard[:1500])
+        of_toxic = dict(zip(toxic_parts, model.strings(toxic_parts).tolist(), strict=True))
+        witnesses = Counter()
+        for doc in toxic_docs:
+            found = [f for s in doc if (f := most(s, of_toxic.__getitem__))]
+            toxic = [f for f in found if f[0] > 0] or [f for f in found if f == max(found) and f[0] > -0.5][:1]
+            witnesses.update(p for _, p in toxic)
+    # The threshold is where the fewest of the texts learned from are on the wrong side. Where a range does, it is a quarter up
+    # from its lower end, since there are far more clean texts to come than were shown.
+    parts = sorted(in_clean.keys() | in_toxic.keys())
+    of = dict(zip(parts, model.strings(parts).tolist(), strict=True))
+    score = np.array([max((of[p] for s in d for p in s), default=model.bias) for d in (*clean_docs, *toxic_docs)])
+    order = np.argsort(score, kind="stable")
+    toxic = order >= b
+    wrong = np.cumsum(toxic) + (b - np.cumsum(~toxic))  # with the threshold above the k-th score
+    ties = np.append(score[order][1:] == score[order][:-1], False)
+    k = int(np.where(ties, len(order) + 1, wrong).argmin())
+    low = float(score[order[k]])
+    high = float(score[order[k + 1]]) if k + 1 < len(order) else low + 1.0
+    model.bias -= low + (high - low) / 4
     return model
 
 
-def _norms(landmarks: list[str], alphabet: Alphabet) -> np.ndarray:
-    """Norms of the landmarks: kernel() scales its columns by them, not its rows."""
-    out = []
-    for t in landmarks:
-        own: Counter = Counter()
-        for _, number, weight in _subsequences(alphabet.encode([t])[0], alphabet.size):
-            for n in number.tolist():
-                own[n] += float(weight)
-        out.append(sum(v * v for v in own.values()) ** 0.5)
-    return np.array(out)
-
-
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 2) -> Model:
     """Fits on at most per_class (up to 1,000) labelled documents of either kind, drawn by hash of doc_id; whole texts."""
     rows = sample(docs, labels, "toxic", per_class, seed).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
@@ -375,16 +389,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, toxic, score, hits) for each row of docs: toxic if some string of it is on the far side of the hyperplane.
+    """(doc_id, toxic, score, hits) for each row of docs: toxic if some sentence of it is on the far side of the hyperplane.
 
-    score is the greatest decision value of its strings, hits the number of positive ones. A text that is null or has no
-    letter or digit is clean, with a null score. Repeated rows and rows without doc_id are scored like any other; other
-    columns are not looked at.
+    score is the greatest decision value of its sentences, hits the number of positive ones; 0 is not positive. A text that is
+    null or has no letter or digit is clean, with a null score. Repeated rows and rows without doc_id are scored like any
+    other; other columns are not looked at.
     """
-    shared = share(docs.sparkSession, model)
+    shared, name = share(docs.sparkSession, model), uuid.uuid4().hex
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(1, limit=1_000_000, dtype=np.float32)
+        memo = kept("toxicity", name, lambda: Memo(1, limit=1_000_000, dtype=np.float32))
         for b in stream:
             best, hits = shared.value.texts([t or "" for t in b.column(1).to_pylist()], memo)
             value = pa.array(best, mask=np.isneginf(best))
