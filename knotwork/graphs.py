@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +47,7 @@ def star(spark: SparkSession, sf_dir: str) -> Graph:
     lines = _read(spark, sf_dir, "lineitem")
 
     def edge(df: DataFrame, rank: int, a: tuple[str, str], b: tuple[str, str], relation: str, confidence: Column) -> DataFrame:
-        order = F.lit(rank * 10**17) + F.col(a[1]).cast("bigint") * F.lit(10**8) + F.col(b[1])
+        order = (F.lit(rank).cast("decimal(2,0)") * F.lit(Decimal(10**34)) + F.col(a[1]).cast("decimal(17,0)") * F.lit(Decimal(10**17)) + F.col(b[1])).cast("decimal(38,0)")
         return df.select(_id(*a).alias("source"), _id(*b).alias("target"), F.lit(relation).alias("relation"), confidence.alias("confidence"), order.alias("ord"))
 
     sure = F.lit("EXTRACTED")
@@ -83,7 +84,7 @@ def web(spark: SparkSession, sf_dir: str) -> Graph:
     links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("at", "href"))
     edges = links.select(
         F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("source"), F.col("href").alias("target"), F.lit("references").alias("relation"),
-        F.lit("INFERRED").alias("confidence"), F.lit(0.5).alias("weight"), F.col("page_id").cast("string").alias("source_file"), (F.col("page_id") * 100_000 + F.col("at")).alias("ord"),
+        F.lit("INFERRED").alias("confidence"), F.lit(0.5).alias("weight"), F.col("page_id").cast("string").alias("source_file"), (F.col("page_id").cast("decimal(19,0)") * F.lit(Decimal(10**10)) + F.col("at")).alias("ord"),
     )
     return Graph(as_nodes(nodes), as_edges(edges))
 

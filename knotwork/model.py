@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
     "id string, label string, type string, source_file string, source_location string, confidence string, "
-    "is_god_node boolean, community_id bigint, metadata string, language string, ord bigint"
+    "is_god_node boolean, community_id bigint, metadata string, language string, ord decimal(38,0)"
 )
 EDGE_SCHEMA = (
     "source string, target string, relation string, context string, confidence string, source_file string, "
-    "source_location string, weight double, metadata string, ord bigint"
+    "source_location string, weight double, metadata string, ord decimal(38,0)"
 )
 MEMBER_SCHEMA = "node_id string, community_id bigint"
 
@@ -85,7 +85,8 @@ def as_edges(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Graph:
-    """A property graph; edges may point to ids that nodes lack. ord is the order of input, which first-wins rules use."""
+    """A property graph; edges may point to ids that nodes lack. ord is the order of input, which first-wins rules use; it is wide
+    enough for a file's number, a line and a place in it."""
 
     nodes: DataFrame
     edges: DataFrame

@@ -86,14 +86,21 @@ def merge_all(graphs: list[tuple[str, Graph]]) -> Graph:
     return reduce(lambda done, x: merge(done, x[1], x[0]), list(zip(names, (g for _, g in graphs), strict=True))[1:], graphs[0][1])
 
 
+def forget(everything: Graph, project: str) -> Graph:
+    """The global graph without what a project put there."""
+    mine = lambda c: F.coalesce(F.startswith(F.col(c), F.lit(f"{project}::")), F.lit(False))
+    return Graph(everything.nodes.where(~mine("id")), everything.edges.where(~mine("source")), None, everything.project)
+
+
 def accumulate(everything: Graph, graph: Graph, project: str) -> Graph:
-    """The global graph with a project's graph under its name; doing it again changes nothing."""
-    merged = merge(everything, graph, project)
-    mine = F.col("id").startswith(f"{project}::")
-    keys = ["source", "target", "relation"]
-    new_nodes = merged.nodes.where(mine).join(everything.nodes.select("id"), "id", "left_anti").select(everything.nodes.columns)
-    new_edges = merged.edges.where(F.col("source").startswith(f"{project}::")).join(everything.edges.select(*keys), keys, "left_anti").select(everything.edges.columns)
-    return Graph(everything.nodes.unionByName(new_nodes), everything.edges.unionByName(new_edges), None, everything.project)
+    """The global graph with a project's graph, as it is now, under its name: what the project had there before goes.
+
+    Doing it again changes nothing. Of each id the first node counts, of each source, target and relation the first edge.
+    """
+    empty = Graph(everything.nodes.limit(0), everything.edges.limit(0))
+    own = merge(empty, Graph(dedupe_nodes(graph.nodes), _first(graph.edges, ["source", "target", "relation"], ["ord"])), project)
+    rest = forget(everything, project)
+    return Graph(rest.nodes.unionByName(own.nodes.select(rest.nodes.columns)), rest.edges.unionByName(own.edges.select(rest.edges.columns)), None, everything.project)
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame, project: str = ".") -> Graph:

@@ -1,116 +1,209 @@
-"""Components, PageRank and communities: bounded rounds over written tables."""
+"""Components, PageRank and communities: rounds over written tables."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import Graph
-from ..storage import table
+from ..session import ship
+from ..storage import bucketed, table
 from .metrics import degree_in_out, graph_stats, valid_edges
 
 
-def _changed(a: DataFrame, b: DataFrame) -> bool:
-    return not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty()
+#: A graph of at most so many edges, by count, is finished in one task (some 200 MB): what comes out is the same, and rounds
+#: cost no jobs. It is so for what is left of a larger graph, too.
+LOCAL_EDGES = 2_000_000
+
 
+def _print(edges: DataFrame) -> tuple:
+    """A fingerprint of a set of pairs, read off its table without a shuffle."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("decimal(38, 0)"))).first())
 
-def weak_components(graph: Graph, rounds: int = 50) -> DataFrame:
+
+def weak_components(graph: Graph) -> DataFrame:
     """(id, component) of every node; a component is named by its least id.
 
-    Large-star and small-star rounds, whose number grows with the logarithm of the longest chain, not with its length.
+    Large-star and small-star rounds until nothing changes. Their number grows with the logarithm of the longest chain.
     """
     pairs = valid_edges(graph).where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v"))
     edges = table(pairs.distinct())
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    known = _print(edges)
+    while True:
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        new = table(small.where("u <> v").distinct())
-        changed = _changed(new, edges)
-        edges = new
-        if not changed:
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v"))
+        edges = table(small.where("u <> v").distinct())
+        now = _print(edges)
+        if now == known:
             root = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
             return graph.nodes.select("id").distinct().join(root, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    raise RuntimeError("the components did not settle")
-
-
-def strong_components(graph: Graph, rounds: int = 200) -> DataFrame:
+        known = now
+
+
+def in_one_task(edges: DataFrame, run: Callable[[np.ndarray, np.ndarray, np.ndarray, list[str]], Iterable[np.ndarray | list]], schema: str) -> DataFrame:
+    """What run makes of all edges (source, target, w), a written table: ends as places in the sorted list of ids, which it
+    gets as well. It returns columns of the schema."""
+    ship(edges.sparkSession)
+    fields = [c.strip().split(" ") for c in schema.split(",")]
+    made = pa.schema([(name, {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64()}[kind]) for name, kind in fields])
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(stream)
+        t = pa.Table.from_batches(batches) if batches else pa.schema([("source", pa.string()), ("target", pa.string()), ("w", pa.float64())]).empty_table()
+        both = pa.chunked_array([*t["source"].chunks, *t["target"].chunks], pa.string()).combine_chunks().dictionary_encode()
+        both = both.combine_chunks() if isinstance(both, pa.ChunkedArray) else both
+        ids = both.dictionary.to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        at = place[both.indices.to_numpy(zero_copy_only=False)]
+        columns = run(at[: t.num_rows], at[t.num_rows :], t["w"].to_numpy(), [ids[k] for k in order])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], schema=made)
+
+    return edges.select("source", "target", "w").coalesce(1).mapInArrow(task, schema)
+
+
+def _strong(source: np.ndarray, target: np.ndarray, _: np.ndarray, ids: list[str]) -> tuple[list, list]:
+    """Each id with the least id of its strong component."""
+    order = np.argsort(source, kind="stable")
+    to, first = target[order].tolist(), np.searchsorted(source[order], np.arange(len(ids) + 1)).tolist()
+    seen, low, name = [-1] * len(ids), [0] * len(ids), [-1] * len(ids)
+    stack: list[int] = []
+    n = 0
+    for start in range(len(ids)):
+        if seen[start] >= 0:
+            continue
+        work = [[start, first[start]]]
+        seen[start] = low[start] = n
+        n += 1
+        stack.append(start)
+        while work:
+            u, k = work[-1]
+            if k < first[u + 1]:
+                work[-1][1] += 1
+                v = to[k]
+                if seen[v] < 0:
+                    seen[v] = low[v] = n
+                    n += 1
+                    stack.append(v)
+                    work.append([v, first[v]])
+                elif name[v] < 0:
+                    low[u] = min(low[u], seen[v])
+                continue
+            work.pop()
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[u])
+            if low[u] == seen[u]:
+                found = []
+                while not found or found[-1] != u:
+                    found.append(stack.pop())
+                least = min(found)  # places are in the order of ids
+                for v in found:
+                    name[v] = least
+    return ids, [ids[k] for k in name]
+
+
+def strong_components(graph: Graph, local: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) of every node; a component is named by its least id.
 
     Nodes without an edge in or without one out are components of their own and are trimmed first, again and again. In what
     is left each node takes the least id that leads to it; the nodes that lead back to that id, through nodes of the same
-    name, are its component. They go, and the rest goes round again.
+    name, are its component. They go, and the rest goes round again. Once at most local edges are left, one task
+    finishes them: the components are the same either way.
     """
     nodes = graph.nodes.select("id").distinct()
     edges = table(valid_edges(graph).where("source <> target").select("source", "target").distinct())
+    size = edges.count()
     done: list[DataFrame] = []
-    for _ in range(rounds):
-        while not edges.isEmpty():
-            ends = edges.select(F.col("source").alias("id")).distinct().intersect(edges.select(F.col("target").alias("id")).distinct())
-            kept = table(edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target"))
-            same = kept.count() == edges.count()
-            edges = kept
-            if same:
-                break
-        if edges.isEmpty():
-            break
+    while size > local:
+        ends = edges.select(F.col("source").alias("id")).distinct().intersect(edges.select(F.col("target").alias("id")).distinct())
+        kept = table(edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target"))
+        before, size, edges = size, kept.count(), kept
+        if size < before:
+            continue
         names = table(edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("name", F.col("id")))
-        for _ in range(rounds):
-            said = edges.join(names.withColumnRenamed("id", "source"), "source").select(F.col("target").alias("id"), "name")
-            new = table(names.unionByName(said).groupBy("id").agg(F.min("name").alias("name")))
-            settled = not _changed(new, names)
-            names = new
-            if settled:
-                break
-        else:
-            raise RuntimeError("the names did not settle")
+        moved = 1
+        while moved:
+            said = edges.join(names.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("name").alias("said"))
+            # The name of one's name leads here, too, which makes long ways short.
+            names = names.join(said, "id").select("id", F.least("name", "said").alias("name"), (F.col("said") < F.col("name")).alias("moved"))
+            far = names.select(F.col("id").alias("name"), F.col("name").alias("further"))
+            names = table(names.join(far, "name").select("id", F.least("name", "further").alias("name"), (F.col("moved") | (F.col("further") < F.col("name"))).alias("moved")))
+            moved = names.where("moved").count()
+            names = names.select("id", "name")
         inside = edges.join(names.select(F.col("id").alias("source"), F.col("name").alias("a")), "source").join(names.select(F.col("id").alias("target"), F.col("name").alias("b")), "target")
         inside = table(inside.where("a = b").select("source", "target"))
-        back = table(names.where("id = name"))
-        for _ in range(rounds):
-            said = inside.join(back.withColumnRenamed("id", "target"), "target").select(F.col("source").alias("id"), "name")
-            new = table(back.unionByName(said).distinct())
-            settled = new.count() == back.count()
-            back = new
-            if settled:
-                break
-        else:
-            raise RuntimeError("the components did not settle")
+        front = back = table(names.where("id = name"))
+        while not front.isEmpty():
+            said = inside.join(front.withColumnRenamed("id", "target"), "target").select(F.col("source").alias("id"), "name").distinct()
+            front = table(said.join(back.select("id"), "id", "left_anti"))
+            back = back.unionByName(front)
+        back = table(back)
         done.append(back)
         gone = back.select("id")
         edges = table(edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target"))
-    else:
-        raise RuntimeError("the components did not settle")
+        size = edges.count()
+    if size:
+        done.append(in_one_task(edges.withColumn("w", F.lit(1.0)), _strong, "id string, name string"))
     if not done:
         return nodes.withColumn("component", F.col("id"))
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
+    found = reduce(DataFrame.unionByName, done)
     return nodes.join(found, "id", "left").select("id", F.coalesce("name", "id").alias("component"))
 
 
-def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 100) -> DataFrame:
-    """(id, rank), which sum to 1: even teleport, and what nodes without edges hold is spread evenly. Parallel edges count."""
-    nodes = table(graph.nodes.select("id").distinct())
-    n = nodes.count()
-    out = valid_edges(graph).select("source", "target")
-    degree = out.groupBy("source").agg(F.count("*").alias("d"))
-    share = table(out.groupBy("source", "target").agg(F.count("*").alias("k")).join(degree, "source").select("source", "target", (F.col("k") / F.col("d")).alias("share")))
-    ends = table(nodes.join(degree.select(F.col("source").alias("id")), "id", "left_anti"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(iterations):
-        flow = share.join(ranks.withColumnRenamed("id", "source"), "source").groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("flow")).withColumnRenamed("target", "id")
-        lost = ranks.join(ends, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        new = nodes.join(flow, "id", "left").crossJoin(F.broadcast(lost))  # lost is one row
-        rank = F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)
-        ranks = new.select("id", rank.alias("rank"))
-        if k % 3 == 2:
-            ranks = table(ranks)
-    return ranks
+def _ranks(source: np.ndarray, target: np.ndarray, w: np.ndarray, ids: list[str], n: int, damping: float, iterations: int, tolerance: float) -> tuple[list, np.ndarray]:
+    """Ranks by rounds over arrays; the last one, under no id, is that of a node without edges, of which the rest of n are."""
+    out = np.bincount(source, w, len(ids))
+    share, ends = w / out[source], out == 0
+    rank, lone = np.full(len(ids), 1.0 / n), 1.0 / n
+    for _ in range(iterations):
+        base = (1 - damping + damping * (rank[ends].sum() + (n - len(ids)) * lone)) / n
+        new = base + damping * np.bincount(target, rank[source] * share, len(ids))
+        moved = np.abs(new - rank).sum() + (n - len(ids)) * abs(base - lone)
+        rank, lone = new, base
+        if moved < tolerance:
+            break
+    return [*ids, None], np.append(rank, lone)
+
+
+def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-13, local: int = LOCAL_EDGES) -> DataFrame:
+    """(id, rank), which sum to 1: even teleport, and what nodes without edges hold is spread evenly. Parallel edges count.
+
+    Rounds end after iterations, or when all ranks together move by less than tolerance, so that later ones would change
+    no digit that matters. Each round writes its ranks; the edges lie in buckets by source and are not shuffled again.
+    """
+    ids = table(graph.nodes.select("id").distinct())
+    n = max(ids.count(), 1)
+    links = table(valid_edges(graph).groupBy("source", "target").agg(F.count("*").cast("double").alias("w")))
+    if links.count() <= local:
+        found = in_one_task(links, partial(_ranks, n=n, damping=damping, iterations=iterations, tolerance=tolerance), "id string, rank double")
+        # Nodes without edges all have the rank of what only teleports, which the task returns under no id.
+        found = table(found)
+        lone = found.where("id is null").select(F.col("rank").alias("lone"))
+        return ids.join(found, "id", "left").crossJoin(F.broadcast(lone)).select("id", F.coalesce("rank", "lone").alias("rank"))  # one row
+    degree = links.groupBy("source").agg(F.sum("w").alias("d"))
+    share = bucketed(links.join(degree, "source").select("source", "target", (F.col("w") / F.col("d")).alias("share")), "source")
+    ranks = table(ids.join(degree.select(F.col("source").alias("id"), F.lit(True).alias("goes")), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("goes").isNull().alias("ends")))
+    lost = ranks.agg(F.sum(F.when(F.col("ends"), F.col("rank")))).first()[0] or 0.0
+    for _ in range(iterations):
+        flow = share.join(ranks.select(F.col("id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+        rank = F.lit((1 - damping + damping * lost) / n) + damping * F.coalesce("flow", F.lit(0.0))
+        ranks = table(ranks.join(flow, "id", "left").select("id", rank.alias("rank"), "ends", F.abs(rank - F.col("rank")).alias("by")))
+        moved, lost = ranks.agg(F.sum("by"), F.sum(F.when(F.col("ends"), F.col("rank")))).first()
+        lost = lost or 0.0
+        if (moved or 0.0) < tolerance:
+            break
+    return ranks.select("id", "rank")
 
 
 def summary(graph: Graph) -> DataFrame:
@@ -128,26 +221,55 @@ def ranked_metrics(graph: Graph, iterations: int = 100) -> DataFrame:
 
 
 def _neighbours(graph: Graph) -> DataFrame:
-    """(id, other, w): weighted undirected adjacency without self-loops, both ways."""
-    e = valid_edges(graph).where("source <> target").select("source", "target", "weight")
+    """(id, other, w): weighted undirected adjacency both ways; a self-loop counts twice."""
+    e = valid_edges(graph).select("source", "target", "weight")
     both = e.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other"), F.col("weight").alias("w")), F.struct(F.col("target").alias("id"), F.col("source").alias("other"), F.col("weight").alias("w")))).alias("e")).select("e.*")
     return both.groupBy("id", "other").agg(F.sum("w").alias("w"))
 
 
-def propagate_labels(graph: Graph, rounds: int = 5) -> DataFrame:
-    """(id, label) after rounds of synchronous label propagation, or fewer if nothing changes.
+def _moves(near: DataFrame, strength: DataFrame, labels: DataFrame, whole: float, k: int) -> DataFrame:
+    """labels after round k, with whether each moved.
 
-    Each node takes the label that weighs most among its neighbours, of equal ones the least; at first it is its own id.
+    In an odd round about half of the nodes may move, by a hash of id and round; in the even one after it the others. A node
+    goes where modularity gains most, of equal labels to the least, and stays unless it gains. What is compared is the
+    gain times whole² / 2, in whole numbers if weights are.
     """
+    coin = F.conv(F.substring(F.md5(F.concat(F.col("id"), F.lit(f":{(k + 1) // 2}"))), 1, 1), 16, 10).cast("int") < 8
+    may = coin if k % 2 else ~coin
+    placed = labels.join(strength, "id")
+    total = placed.groupBy("label").agg(F.sum("k").alias("total"))
+    ready = placed.where(may).join(total.select("label", F.col("total").alias("own_total")), "label").select("id", F.col("label").alias("own"), "k", "own_total")
+    to = near.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("w").alias("w"))
+    offers = to.join(ready, "id").join(total, "label")
+    gain = F.col("w") * whole - F.col("k") * (F.col("total") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0))
+    best = offers.groupBy("id").agg(
+        F.min(F.when(F.col("label") != F.col("own"), F.struct((-gain).alias("loss"), "label"))).alias("b"), F.max(F.when(F.col("label") == F.col("own"), gain)).alias("stay"), F.first("k").alias("k"), F.first("own_total").alias("own_total"))
+    # Without a neighbour in its own community, to stay gains nothing but what its other members cost.
+    stay = F.coalesce("stay", -F.col("k") * (F.col("own_total") - F.col("k")))
+    go = best.where(F.col("b").isNotNull() & (-F.col("b.loss") > stay)).select("id", F.col("b.label").alias("new"))
+    return labels.join(go, "id", "left").select("id", F.coalesce("new", "label").alias("label"), F.col("new").isNotNull().alias("moved"))
+
+
+def local_moves(graph: Graph, rounds: int = 100) -> DataFrame:
+    """(id, label) after rounds of local moves by modularity gain, or fewer if no node gains any more; at first its own id."""
     near = table(_neighbours(graph))
     labels = table(graph.nodes.select("id").distinct().withColumn("label", F.col("id")))
-    for _ in range(rounds):
-        votes = near.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b")).select("id", F.col("b.label").alias("new"))
-        new = table(labels.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.coalesce("new", "label") != F.col("label")).alias("moved")))
-        moved = not new.where("moved").isEmpty()
+    return _settle(near, _strength(near, labels), labels, rounds)
+
+
+def _strength(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    return table(nodes.select("id").join(near.groupBy("id").agg(F.sum("w").alias("k")), "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k")))
+
+
+def _settle(near: DataFrame, strength: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
+    whole = strength.agg(F.sum("k")).first()[0] or 0.0
+    near = bucketed(near.where("id <> other"), "other")
+    quiet = 0
+    for k in range(1, rounds + 1):
+        new = table(_moves(near, strength, labels, whole, k))
+        quiet = quiet + 1 if new.where("moved").isEmpty() else 0
         labels = new.select("id", "label")
-        if not moved:
+        if quiet == 2 and k % 2 == 0:  # neither half has moved
             break
     return labels
 
@@ -165,12 +287,74 @@ def number(df: DataFrame, column: str, name: str) -> DataFrame:
     return ranged.join(F.broadcast(s), "__part").select(column, (within + F.col("__start")).cast("bigint").alias(name))
 
 
-def communities(graph: Graph, rounds: int = 20) -> DataFrame:
-    """membership (node_id, community_id) by label propagation; without edges all nodes are community 0."""
+def _levels(source: np.ndarray, target: np.ndarray, w: np.ndarray, ids: list[str], rounds: int) -> tuple[list, list]:
+    """What communities does, over arrays: for each id the label that it ends in."""
+    member = np.arange(len(ids))  # of each id, by place: its node at this level
+    names = np.array(ids, object)
+    while True:
+        n = len(names)
+        strength = np.bincount(source, w, n)
+        whole, label = strength.sum(), np.arange(n)
+        inner = source != target
+        s, t, x = source[inner], target[inner], w[inner]
+        quiet = 0
+        for k in range(1, rounds + 1):
+            turn = (k + 1) // 2
+            if k % 2:
+                coin = np.array([int(hashlib.md5(f"{i}:{turn}".encode()).hexdigest()[0], 16) < 8 for i in names], bool)
+            may = coin if k % 2 else ~coin
+            total = np.bincount(label, strength, n)
+            use = may[s]
+            cell, where = np.unique(s[use] * n + label[t[use]], return_inverse=True)
+            weight = np.bincount(where, x[use], len(cell))
+            node, to = cell // n, cell % n
+            own = to == label[node]
+            gain = weight * whole - strength[node] * (total[to] - np.where(own, strength[node], 0))
+            stay = -strength * (total[label] - strength)
+            stay[node[own]] = gain[own]
+            node, to, gain = node[~own], to[~own], gain[~own]
+            order = np.lexsort((to, -gain, node))  # places are in the order of labels
+            first = np.append(True, node[order][1:] != node[order][:-1]) if len(order) else np.zeros(0, bool)
+            best = order[first]
+            best = best[gain[best] > stay[node[best]]]
+            label[node[best]] = to[best]
+            quiet = 0 if len(best) else quiet + 1
+            if quiet == 2 and k % 2 == 0:
+                break
+        kept, place = np.unique(label, return_inverse=True)
+        if len(kept) == n:
+            return ids, names[member].tolist()
+        member = place[member]
+        names = names[kept]
+        cell, where = np.unique(place[source] * len(kept) + place[target], return_inverse=True)
+        source, target, w = cell // len(kept), cell % len(kept), np.bincount(where, w, len(cell))
+
+
+def communities(graph: Graph, rounds: int = 100, local: int = LOCAL_EDGES) -> DataFrame:
+    """membership (node_id, community_id) by local moves in levels: when no node gains any more, each community becomes a
+    node and the moves begin again, until nothing joins. At most rounds at each level. Without edges all are community 0.
+
+    The same graph has the same communities on every run, and however much of it one task finishes.
+    """
     if valid_edges(graph).isEmpty():
         return graph.nodes.select(F.col("id").alias("node_id"), F.lit(0).cast("bigint").alias("community_id")).distinct()
-    labels = table(propagate_labels(graph, rounds))
-    return labels.join(number(labels, "label", "community_id"), "label").select(F.col("id").alias("node_id"), "community_id")
+    near = table(_neighbours(graph))
+    members = table(graph.nodes.select("id").distinct().withColumn("label", F.col("id")))
+    strength, size, links = _strength(near, members), members.count(), near.count()
+    while links > 2 * local:
+        labels = table(_settle(near, strength, strength.select("id", F.col("id").alias("label")), rounds))
+        left = labels.select("label").distinct().count()
+        if left == size:
+            break
+        members = table(members.withColumnRenamed("label", "at").join(labels.select(F.col("id").alias("at"), "label"), "at").select("id", "label"))
+        a, b = (labels.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}")) for c in ("id", "other"))
+        near = table(near.join(a, "id").join(b, "other").groupBy(F.col("l_id").alias("id"), F.col("l_other").alias("other")).agg(F.sum("w").alias("w")))
+        strength = table(strength.join(labels, "id").groupBy(F.col("label").alias("id")).agg(F.sum("k").alias("k")))
+        size, links = left, near.count()
+    else:
+        found = in_one_task(near.select(F.col("id").alias("source"), F.col("other").alias("target"), "w"), partial(_levels, rounds=rounds), "label string, last string")
+        members = table(members.join(table(found), "label", "left").select("id", F.coalesce("last", "label").alias("label")))
+    return members.join(number(members, "label", "community_id"), "label").select(F.col("id").alias("node_id"), "community_id")
 
 
 def modularity(graph: Graph, members: DataFrame) -> DataFrame:

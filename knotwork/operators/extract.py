@@ -6,23 +6,23 @@ once, and everything stays in the JVM. Input is files(path, content) and, where
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, file_node_id, file_stem, last_segment, sanitize_id
 from ..model import Graph
-from ..session import ship
+from ..storage import table
 
 NODE = "struct<id:string,label:string,type:string,metadata:string>"
 EDGE = "struct<source:string,target:string,relation:string,context:string,confidence:string,weight:double>"
 MARKS = "NOTE|IMPORTANT|HACK|WHY|RATIONALE|TODO|FIXME"
-LINES_PER_FILE = 10_000_000
-PARTS_PER_LINE = 1000
+#: ord is a file's number, then a line's, then the place of what was found in it.
+PARTS_PER_LINE = 10**6
+LINES_PER_FILE = 10**11
 
 
 @dataclass(frozen=True)
@@ -216,10 +216,11 @@ LANGUAGES: list[tuple[str, dict[str, Rule], tuple[str, ...]]] = [
 
 
 def _files(files: DataFrame) -> DataFrame:
-    order = F.col("ord").cast("bigint") if "ord" in files.columns else F.pmod(F.xxhash64("path"), F.lit(90_000_000))
+    # Files without a number come in the order of a hash of their paths.
+    order = F.col("ord").cast("decimal(20,0)") if "ord" in files.columns else F.xxhash64("path").cast("decimal(20,0)") + F.lit(Decimal(2**63))
     path = F.col("path")
     return files.where("path is not null").select(
-        "path", F.coalesce("content", F.lit("")).alias("content"), (order * LINES_PER_FILE * PARTS_PER_LINE).alias("base"),
+        "path", F.coalesce("content", F.lit("")).alias("content"), (order.cast("decimal(20,0)") * F.lit(Decimal(LINES_PER_FILE * PARTS_PER_LINE))).cast("decimal(38,0)").alias("base"),
         file_node_id(path).alias("file_id"), F.coalesce(F.nullif(file_stem(path), F.lit("")), F.lit("unknown")).alias("stem"), extension(path).alias("ext"),
     )
 
@@ -257,27 +258,28 @@ def _found(rules: dict[str, Rule]) -> tuple[Column, Column]:
     return drop(nodes), drop(edges)
 
 
+def _own(f: DataFrame) -> DataFrame:
+    """A node for each file."""
+    meta = F.when(F.col("file_type") == "document", F.to_json(F.struct(F.octet_length("content").cast("bigint").alias("file_size_bytes"), F.lit("PDF").alias("format"))))
+    return f.select(F.col("file_id").alias("id"), F.col("path").alias("label"), F.col("file_type").alias("type"), F.col("path").alias("source_file"), F.lit(None).cast("string").alias("source_location"), meta.alias("metadata"), "language", F.col("base").alias("ord"))
+
+
 def _extract(files: DataFrame, groups: list[tuple[Column | None, dict[str, Rule]]], language: Column, file_type: Column) -> tuple[DataFrame, DataFrame]:
-    """What the rules of the first group whose condition holds find in each file; files are read once for either result."""
+    """What the rules of the first group whose condition holds find in each file. Files are read and matched once, into a
+    table of what was found, from which nodes and edges are taken."""
     f = _files(files).withColumns({"language": language, "file_type": file_type})
     found = lines(f)
-    made = [(c, *_found(rules)) for c, rules in groups]
-    sides = []
-    for k in (1, 2):
-        chosen = None
-        for m in made:
-            c = m[0] if m[0] is not None else F.lit(True)
-            chosen = F.when(c, m[k]) if chosen is None else chosen.when(c, m[k])
-        sides.append(chosen)
-    at = F.col("base") + F.col("number") * PARTS_PER_LINE
+    chosen = None
+    for c, rules in groups:
+        sides = F.arrays_zip(*(x.alias(n) for n, x in zip(("n", "e"), _found(rules), strict=True)))
+        chosen = F.when(c if c is not None else F.lit(True), sides) if chosen is None else chosen.when(c, sides)
     where = F.concat(F.lit("L"), F.col("number").cast("string"))
-    n = found.select("path", "language", at.alias("at"), where.alias("loc"), F.posexplode(sides[0]).alias("k", "n"))
-    n = n.select(F.col("n.id").alias("id"), F.col("n.label").alias("label"), F.col("n.type").alias("type"), F.col("path").alias("source_file"), F.col("loc").alias("source_location"), F.col("n.metadata").alias("metadata"), "language", (F.col("at") + F.col("k")).alias("ord"))
-    meta = F.when(F.col("file_type") == "document", F.to_json(F.struct(F.octet_length("content").cast("bigint").alias("file_size_bytes"), F.lit("PDF").alias("format"))))
-    own = f.select(F.col("file_id").alias("id"), F.col("path").alias("label"), F.col("file_type").alias("type"), F.col("path").alias("source_file"), F.lit(None).cast("string").alias("source_location"), meta.alias("metadata"), "language", F.col("base").alias("ord"))
-    e = found.select("path", at.alias("at"), where.alias("loc"), F.posexplode(sides[1]).alias("k", "e"))
-    e = e.select("e.*", F.col("path").alias("source_file"), F.col("loc").alias("source_location"), (F.col("at") + F.col("k")).alias("ord"))
-    return own.unionByName(n), e
+    parts = found.select("path", "language", "base", "number", where.alias("loc"), F.posexplode(chosen).alias("k", "x"))
+    at = (F.col("base") + F.col("number").cast("decimal(11,0)") * F.lit(Decimal(PARTS_PER_LINE)) + F.col("k")).cast("decimal(38,0)")
+    parts = table(parts.select("path", "language", "loc", at.alias("ord"), "x.n", "x.e"))
+    n = parts.where("n is not null").select(F.col("n.id").alias("id"), F.col("n.label").alias("label"), F.col("n.type").alias("type"), F.col("path").alias("source_file"), F.col("loc").alias("source_location"), F.col("n.metadata").alias("metadata"), "language", "ord")
+    e = parts.where("e is not null").select("e.*", F.col("path").alias("source_file"), F.col("loc").alias("source_location"), "ord")
+    return _own(f).unionByName(n), e
 
 
 def extract_with(files: DataFrame, rules: dict[str, Rule], language: str, file_type: str = "file") -> tuple[DataFrame, DataFrame]:
@@ -285,17 +287,46 @@ def extract_with(files: DataFrame, rules: dict[str, Rule], language: str, file_t
     return _extract(files, [(None, rules)], F.lit(language), F.lit(file_type))
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of files by extension; a file of an unknown one is a lone node, its language `unknown (ext)`."""
+def _languages() -> tuple[Column, list[tuple[Column, dict[str, Rule]]]]:
+    """The language of a file by its extension, and which rules are for it."""
     members: dict[int, tuple[dict[str, Rule], list[str]]] = {}
     names = []
     ext = F.col("ext")
     for name, rules, exts in LANGUAGES:
         members.setdefault(id(rules), (rules, []))[1].extend(exts)
         names.append(F.when(ext.isin(*exts), F.lit(name)))
-    language = F.coalesce(*names, F.concat(F.lit("unknown ("), ext, F.lit(")")))
-    groups = [(ext.isin(*exts), rules) for rules, exts in members.values()]
-    return _extract(files, groups, language, F.when(ext == "pdf", "document").otherwise("file"))
+    return F.coalesce(*names, F.concat(F.lit("unknown ("), ext, F.lit(")"))), [(ext.isin(*exts), rules) for rules, exts in members.values()]
+
+
+def _file_type() -> Column:
+    return F.when(F.col("ext") == "pdf", "document").otherwise("file")
+
+
+def file_nodes(files: DataFrame) -> DataFrame:
+    """The node of each file alone; a file of an unknown extension has the language `unknown (ext)`."""
+    return _own(_files(files).withColumns({"language": _languages()[0], "file_type": _file_type()}))
+
+
+def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of files by extension; a file of an unknown one is a lone node, its language `unknown (ext)`."""
+    language, groups = _languages()
+    return _extract(files, groups, language, _file_type())
+
+
+def extract_by_syntax(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as extract's, where languages with a syntax (syntax.GRAMMARS) are taken apart by it, over lines and
+    without what stands in comments and strings; other files go by patterns."""
+    from . import syntax
+
+    structural = extension(F.col("path")).isin(*syntax.EXTENSIONS)
+    nodes, edges = extract(files.where(~F.coalesce(structural, F.lit(False))))
+    found = table(syntax.found(_files(files.where(structural)).withColumns({"language": _languages()[0]})))
+    at = (F.col("base") + F.col("place")).cast("decimal(38,0)").alias("ord")
+    where = F.concat(F.lit("L"), F.col("line").cast("string")).alias("source_location")
+    none = F.lit(None).cast("string")
+    n = found.where("kind = 'node'").select("id", "label", "type", F.col("path").alias("source_file"), where, none.alias("metadata"), "language", at)
+    e = found.where("kind = 'edge'").select(F.col("id").alias("source"), "target", "relation", "context", F.lit("EXTRACTED").alias("confidence"), F.lit(1.0).alias("weight"), F.col("path").alias("source_file"), where, at)
+    return nodes.unionByName(file_nodes(files.where(structural))).unionByName(n), edges.unionByName(e)
 
 
 def errors(files: DataFrame) -> DataFrame:
@@ -305,49 +336,8 @@ def errors(files: DataFrame) -> DataFrame:
     return files.where(~ext.isin(*known)).select("path", F.concat(F.lit("No extractor for ."), ext, F.lit(" files yet")).alias("error"))
 
 
-AST_RESULT = "path string, kind string, id string, label string, type string, target string, relation string, context string, line bigint"
-
-
-def python_syntax(files: DataFrame) -> DataFrame:
-    """Classes, functions and bases of Python files by their syntax tree: rows of kind node and edge, or error.
-
-    A class or function is stem_name; `init`, `main` and repeated ids in a file are skipped; a base is an inherits edge.
-    """
-    ship(files.sparkSession)
-    f = _files(files).where("ext in ('py', 'pyi')").select("path", "content", "stem", "file_id")
-
-    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split(" ")[0] for c in AST_RESULT.split(", ")]
-        for b in stream:
-            rows: list[tuple] = []
-            for path, content, stem, file_id in b.itertuples(index=False):
-                try:
-                    tree = ast.parse(content)
-                except (SyntaxError, ValueError) as e:
-                    rows.append((path, "error", None, str(e), None, None, None, None, None))
-                    continue
-                seen = set()
-                for x in ast.walk(tree):
-                    is_class = isinstance(x, ast.ClassDef)
-                    if not is_class and not isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef):
-                        continue
-                    id_ = f"{stem}_{x.name}"
-                    if id_ in seen or (not is_class and x.name in ("init", "main")):
-                        continue
-                    seen.add(id_)
-                    kind = "class" if is_class else "function"
-                    rows.append((path, "node", id_, x.name, kind, None, None, None, x.lineno))
-                    rows.append((path, "edge", file_id, None, None, id_, "contains", "class_definition" if is_class else "function_definition", x.lineno))
-                    for base in x.bases if is_class else ():
-                        name = ast.unparse(base)
-                        if name != "object":
-                            rows.append((path, "edge", id_, None, None, f"{stem}_{name}", "inherits", "extends", x.lineno))
-            yield pd.DataFrame(rows, columns=columns)
-
-    return f.mapInPandas(run, AST_RESULT)
-
-
-def to_graph(files: DataFrame, project: str = ".") -> Graph:
+def to_graph(files: DataFrame, project: str = ".", by_syntax: bool = True) -> Graph:
+    """The graph of files: by syntax where there is one, or all by patterns."""
     from .build import build_graph
 
-    return build_graph(*extract(files), project)
+    return build_graph(*(extract_by_syntax if by_syntax else extract)(files), project)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import CONFIDENCE, Graph, is_semantic, is_structural
+from ..storage import table
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def valid_edges(graph: Graph) -> DataFrame:
     """Edges both of whose ends are nodes."""
-    ids = graph.nodes.select("id").distinct()
+    ids = graph.nodes.select("id")
     e = graph.edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
     return e.join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
@@ -51,15 +52,20 @@ def god_nodes_core(graph: Graph, k: int = 10) -> DataFrame:
 
 def god_threshold(graph: Graph) -> DataFrame:
     """One row: the degree at rank floor(0.99 n) from 0 of the n degrees. Computed on the histogram of degrees."""
-    histogram = degree(graph.edges).groupBy("degree").agg(F.count("*").alias("n"))
+    return _threshold(degree(graph.edges))
+
+
+def _threshold(degrees: DataFrame) -> DataFrame:
+    histogram = degrees.groupBy("degree").agg(F.count("*").alias("n"))
     upto = Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, 0)
     ranked = histogram.select("degree", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
     return ranked.where(F.col("upto") > F.floor(F.col("all") * 99 / 100)).agg(F.min("degree").alias("threshold"))
 
 
 def flag_god_nodes(graph: Graph) -> DataFrame:
-    """nodes with is_god_node: degree at or above the 99th percentile, and above 10."""
-    d = degree(graph.edges).crossJoin(F.broadcast(god_threshold(graph)))  # the threshold is one row
+    """nodes with is_god_node: degree at or above the 99th percentile, and above 10. Degrees are counted once, into a table."""
+    counted = table(degree(graph.edges))
+    d = counted.crossJoin(F.broadcast(_threshold(counted)))  # the threshold is one row
     d = d.where((F.col("degree") >= F.col("threshold")) & (F.col("degree") > 10)).select("id", F.lit(True).alias("god"))
     return graph.nodes.join(d, "id", "left").withColumn("is_god_node", F.coalesce("god", F.lit(False))).select(graph.nodes.columns)
 

@@ -61,6 +61,19 @@ def analyze(graph: Graph, k: int = 10) -> dict[str, DataFrame]:
     return {"god_nodes": god_nodes(graph, k), "issues": issues(graph), "health": health(graph), "style": architecture_style(graph.edges)}
 
 
+def analysis(graph: Graph, k: int = 10) -> DataFrame:
+    """(section, name, value): the architecture report as rows: hubs with their degrees, issues by type, health and style."""
+    a = analyze(graph, k)
+    rows = lambda df, section, name, value: df.select(F.lit(section).alias("section"), name.alias("name"), value.cast("double").alias("value"))
+    style = a["style"].select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("contains", "imports", "calls"))), F.array("contains", "imports", "calls"))).alias("name", "n"))
+    return (
+        rows(a["god_nodes"], "god_nodes", F.col("id"), F.col("degree"))
+        .unionByName(rows(a["issues"].groupBy("type").agg(F.count("*").alias("n")), "issues", F.col("type"), F.col("n")))
+        .unionByName(rows(a["health"], "health", F.lit("score"), F.col("health")))
+        .unionByName(rows(style, "style", F.col("name"), F.col("n")))
+    )
+
+
 def diff(base: Graph, new: Graph) -> DataFrame:
     """(id, change): nodes added, removed, or changed, that is of another label."""
     a = base.nodes.select("id", F.col("label").alias("was"), F.lit(True).alias("in_a"))

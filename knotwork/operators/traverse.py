@@ -6,11 +6,16 @@ a frontier whose counted size is small is broadcast, and then edges are not shuf
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
 from ..storage import table
+from .community import LOCAL_EDGES, in_one_task
+from .metrics import valid_edges
 
 #: Frontiers of at most so many rows are broadcast, after counting.
 SMALL = 100_000
@@ -25,41 +30,85 @@ def _ids(graph: Graph) -> DataFrame:
     return graph.nodes.select("id").distinct()
 
 
-def bfs(graph: Graph, starts: list[str], max_depth: int, reverse: bool = False) -> DataFrame:
-    """(id, depth) of nodes within max_depth edges of a start, least depth; starts at 0, unknown ones nowhere."""
+def _steps(graph: Graph, reverse: bool = False) -> DataFrame:
+    """(s, id): where an edge leads to from s, as a written table, so that no level computes the graph again."""
     source, target = ("target", "source") if reverse else ("source", "target")
-    edges = graph.edges.select(F.col(source).alias("s"), F.col(target).alias("id"))
-    nodes = _ids(graph)
-    frontier = table(nodes.where(F.col("id").isin(*starts)).withColumn("depth", F.lit(0).cast("bigint")))
-    seen = frontier
-    for depth in range(1, max_depth + 1):
-        n = frontier.count()
-        if not n:
-            break
+    return table(graph.edges.select(F.col(source).alias("s"), F.col(target).alias("id")))
+
+
+def bfs(graph: Graph, starts: list[str], max_depth: int | None = None, reverse: bool = False) -> DataFrame:
+    """(id, depth) of nodes within max_depth edges of a start, least depth; starts at 0, unknown ones nowhere. Without
+    max_depth, of all that can be reached."""
+    edges, nodes = _steps(graph, reverse), table(graph.nodes.select("id"))
+    frontier = table(nodes.where(F.col("id").isin(*starts)).distinct().withColumn("depth", F.lit(0).cast("bigint")))
+    seen, depth = frontier, 0
+    while (max_depth is None or depth < max_depth) and (n := frontier.count()):
+        depth += 1
         step = edges.join(_small(frontier.select(F.col("id").alias("s")), n), "s").select("id").distinct()
-        new = step.join(seen, "id", "left_anti").join(nodes, "id")
+        new = step.join(seen, "id", "left_anti").join(nodes, "id", "left_semi")
         frontier = table(new.withColumn("depth", F.lit(depth).cast("bigint")))
         seen = seen.unionByName(frontier)
+        if depth % 20 == 0:
+            seen = table(seen)
     return seen
 
 
-def shortest_path(graph: Graph, start: str, end: str, max_depth: int = 100) -> DataFrame:
-    """(step, id) of the shortest directed path; of equal ones the first in order of ids. No row if there is none."""
-    edges = graph.edges.select(F.col("source").alias("s"), F.col("target").alias("id")).distinct()
-    nodes = _ids(graph)
-    frontier = table(nodes.where(F.col("id") == start).withColumn("path", F.array("id")))
-    seen = frontier.select("id")
-    for _ in range(max_depth):
-        n = frontier.count()
-        if not n or not frontier.where(F.col("id") == end).isEmpty():
-            break
-        step = edges.join(_small(frontier.withColumnRenamed("id", "s"), n), "s")
-        step = step.groupBy("id").agg(F.min("path").alias("path"))
-        new = step.join(seen, "id", "left_anti").join(nodes, "id")
-        frontier = table(new.select("id", F.array_append("path", F.col("id")).alias("path")))
+def _path(source: np.ndarray, target: np.ndarray, _: np.ndarray, ids: list[str], start: str, end: str) -> tuple[list, list]:
+    """shortest_path over arrays; places are in the order of ids."""
+    at = {i: k for k, i in enumerate(ids)}
+    if start not in at or end not in at:
+        return [], []
+    order = np.lexsort((target, source))
+    to, first = target[order], np.searchsorted(source[order], np.arange(len(ids) + 1))
+    come = np.full(len(ids), -1)
+    come[at[start]] = at[start]
+    front = np.array([at[start]])
+    while len(front) and come[at[end]] < 0:
+        n = first[front + 1] - first[front]
+        by = np.repeat(front, n)
+        reached = to[np.repeat(first[front] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        new = come[reached] < 0
+        by, reached = by[new], reached[new]
+        pick = np.lexsort((by, reached))
+        front, k = np.unique(reached[pick], return_index=True)
+        come[front] = by[pick][k]
+    if come[at[end]] < 0:
+        return [], []
+    path = [at[end]]
+    while path[-1] != at[start]:
+        path.append(int(come[path[-1]]))
+    return list(range(len(path))), [ids[k] for k in reversed(path)]
+
+
+def shortest_path(graph: Graph, start: str, end: str, local: int = LOCAL_EDGES) -> DataFrame:
+    """(step, id) of the shortest directed path; of equal ones, from the end back, each node comes from the least id that it
+    can come from. No row if there is none.
+
+    A level keeps for each new node the least one that leads to it, and the levels are read backwards at last. A graph of at
+    most local edges is walked in one task, to the same end.
+    """
+    if start == end:
+        return graph.nodes.where(F.col("id") == start).select("id").distinct().select(F.lit(0).cast("bigint").alias("step"), "id")
+    links = table(valid_edges(graph).select("source", "target", F.lit(1.0).alias("w")).distinct())
+    if links.count() <= local:
+        return in_one_task(links, partial(_path, start=start, end=end), "step bigint, id string")
+    edges, nodes = links.select(F.col("source").alias("s"), F.col("target").alias("id")), table(graph.nodes.select("id"))
+    frontier = table(nodes.where(F.col("id") == start).distinct().withColumn("come", F.lit(None).cast("string")))
+    seen, levels = frontier.select("id"), [frontier]
+    while (n := frontier.count()) and frontier.where(F.col("id") == end).isEmpty():
+        step = edges.join(_small(frontier.select(F.col("id").alias("s")), n), "s").groupBy("id").agg(F.min("s").alias("come"))
+        frontier = table(step.join(seen, "id", "left_anti").join(nodes, "id", "left_semi"))
+        levels.append(frontier)
         seen = seen.unionByName(frontier.select("id"))
-    found = frontier.where(F.col("id") == end)
-    return found.select(F.posexplode("path").alias("step", "id")).select(F.col("step").cast("bigint").alias("step"), "id")
+        if len(levels) % 20 == 0:
+            seen = table(seen)
+    path, at = [], end if n else None
+    for level in reversed(levels):
+        if at is None:
+            break
+        path.append(at)
+        at = level.where(F.col("id") == at).first().come
+    return graph.spark.createDataFrame(list(enumerate(reversed(path))), "step bigint, id string")
 
 
 def all_paths(graph: Graph, start: str, end: str, max_nodes: int) -> DataFrame:
@@ -73,7 +122,7 @@ def all_paths(graph: Graph, start: str, end: str, max_nodes: int) -> DataFrame:
     live = table(nodes.where(F.col("id") == start).join(left, "id").where(F.col("left") < max_nodes).select("id", F.array("id").alias("path")))
     done = live.where(F.col("id") == end)
     # Edges towards the end, with the distance that remains; the others never matter.
-    near = table(graph.edges.select(F.col("source").alias("s"), F.col("target").alias("id")).join(left, "id"))
+    near = table(_steps(graph).join(left, "id"))
     for length in range(2, max_nodes + 1):
         live = live.where(F.col("id") != end)
         n = live.count()

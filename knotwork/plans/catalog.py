@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import graphs
 from ..functions.text import sanitize_id
-from ..model import Graph, as_edges, as_nodes, empty_graph
+from ..model import Graph, as_edges, as_nodes, empty_graph, is_code, is_rationale
 from ..operators import build, community, incremental, metrics, quality, resolve, traverse
-from ..sources import export
+from ..sources import export, graph_json
 from ..storage import new_path
 from ..streaming import changes
 from . import snippets, verbs
@@ -29,13 +29,13 @@ nodes AS (
   UNION ALL SELECT 'p_' || p_partkey, p_name, 'interface', 'part.tbl', 'Go', 4000000000000 + p_partkey FROM part
   UNION ALL SELECT 'o_' || o_orderkey, 'Order#' || o_orderkey, 'function', 'orders.tbl', 'Python', 5000000000000 + o_orderkey FROM orders),
 edges AS (
-  SELECT 'r_' || n_regionkey AS source, 'n_' || n_nationkey AS target, 'contains' AS relation, 'EXTRACTED' AS confidence, 1.0::DOUBLE AS weight, 0::BIGINT + n_regionkey::BIGINT * 100000000 + n_nationkey AS ord FROM nation
-  UNION ALL SELECT 'n_' || s_nationkey, 's_' || s_suppkey, 'contains', 'EXTRACTED', 1.0, 100000000000000000 + s_nationkey::BIGINT * 100000000 + s_suppkey FROM supplier
-  UNION ALL SELECT 'n_' || c_nationkey, 'c_' || c_custkey, 'contains', 'EXTRACTED', 1.0, 200000000000000000 + c_nationkey::BIGINT * 100000000 + c_custkey FROM customer
-  UNION ALL SELECT 'c_' || o_custkey, 'o_' || o_orderkey, 'calls', 'EXTRACTED', 1.0, 300000000000000000 + o_custkey * 100000000 + o_orderkey FROM orders
+  SELECT 'r_' || n_regionkey AS source, 'n_' || n_nationkey AS target, 'contains' AS relation, 'EXTRACTED' AS confidence, 1.0::DOUBLE AS weight, [0, n_regionkey, n_nationkey]::BIGINT[] AS ord FROM nation
+  UNION ALL SELECT 'n_' || s_nationkey, 's_' || s_suppkey, 'contains', 'EXTRACTED', 1.0, [1, s_nationkey, s_suppkey]::BIGINT[] FROM supplier
+  UNION ALL SELECT 'n_' || c_nationkey, 'c_' || c_custkey, 'contains', 'EXTRACTED', 1.0, [2, c_nationkey, c_custkey]::BIGINT[] FROM customer
+  UNION ALL SELECT 'c_' || o_custkey, 'o_' || o_orderkey, 'calls', 'EXTRACTED', 1.0, [3, o_custkey, o_orderkey]::BIGINT[] FROM orders
   UNION ALL SELECT 'o_' || l_orderkey, 'p_' || l_partkey, 'depends_on', CASE min(l_returnflag) WHEN 'N' THEN 'EXTRACTED' WHEN 'A' THEN 'INFERRED' ELSE 'AMBIGUOUS' END, 1.0,
-      400000000000000000 + l_orderkey * 100000000 + l_partkey FROM lineitem GROUP BY l_orderkey, l_partkey
-  UNION ALL SELECT 'p_' || l_partkey, 's_' || l_suppkey, 'references', 'INFERRED', 1.0, 500000000000000000 + l_partkey * 100000000 + l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))
+      [4, l_orderkey, l_partkey]::BIGINT[] FROM lineitem GROUP BY l_orderkey, l_partkey
+  UNION ALL SELECT 'p_' || l_partkey, 's_' || l_suppkey, 'references', 'INFERRED', 1.0, [5, l_partkey, l_suppkey]::BIGINT[] FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))
 """
 EVENT = """
 nodes AS (SELECT DISTINCT event_type AS id, event_type AS label, 'function' AS type FROM events),
@@ -233,7 +233,7 @@ def _walk(source: str, target: str, starts: str, depth: int) -> list[str]:
 on_star("bfs_depth", "SELECT id, CAST(depth AS BIGINT) AS depth FROM b3", *_walk("source", "target", "'c_1'", 3))(lambda g: traverse.bfs(g, ["c_1"], 3))
 on_star("shortest_path", "SELECT CAST(k - 1 AS BIGINT) AS step, p[k] AS id FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM best)",
     "walks AS (SELECT ['n_0'] AS p, 'n_0' AS id UNION ALL SELECT list_append(p, e.target), e.target FROM walks JOIN edges e ON e.source = walks.id WHERE len(p) < 5 AND walks.id <> 's_1' AND NOT list_contains(p, e.target))",
-    "best AS (SELECT p FROM walks WHERE id = 's_1' ORDER BY len(p), p LIMIT 1)",
+    "best AS (SELECT p FROM walks WHERE id = 's_1' ORDER BY len(p), list_reverse(p) LIMIT 1)",
 )(lambda g: traverse.shortest_path(g, "n_0", "s_1"))
 on_star("all_paths_bounded", "SELECT array_to_string(p, '>') AS path, CAST(len(p) AS BIGINT) AS n_nodes FROM walks WHERE id = 's_1'",
     "walks AS (SELECT ['n_0'] AS p, 'n_0' AS id UNION ALL SELECT list_append(p, e.target), e.target FROM walks JOIN edges e ON e.source = walks.id WHERE len(p) < 5 AND walks.id <> 's_1' AND NOT list_contains(p, e.target))",
@@ -256,10 +256,81 @@ on_star("ask_filtered", "SELECT row_number() OVER (ORDER BY depth, label, id) AS
     *(p.replace("FROM edges e", "FROM (SELECT * FROM edges WHERE relation = 'contains') e").replace("FROM nodes)", "FROM nodes WHERE type <> 'class')") for p in _walk("source", "target", "SELECT id FROM s", 2)),
 )(lambda g: verbs.ask(g, verbs.Question("asia", max_depth=2, relations=["contains"], exclude_types=["class"], min_confidence=0.5)).withColumn("rank", F.col("rank").cast("bigint")))
 
+MATCH = "(SELECT id FROM nodes WHERE contains(lower(label), '{}') ORDER BY ord, id LIMIT 1)"
+_A, _B = MATCH.format("asia"), MATCH.format("supplier#000000004")
+on_star("path_verb", "SELECT CAST(k - 1 AS BIGINT) AS step, p[k] AS id FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM best)", f"ends AS MATERIALIZED (SELECT {_A} AS a, {_B} AS b)",
+    "walks AS (SELECT [a] AS p, a AS id, b FROM ends UNION ALL SELECT list_append(p, e.target), e.target, b FROM walks JOIN edges e ON e.source = walks.id WHERE len(p) < 6 AND walks.id <> b AND NOT list_contains(p, e.target))",
+    "best AS (SELECT p FROM walks WHERE id = b ORDER BY len(p), list_reverse(p) LIMIT 1)",
+)(lambda g: verbs.path(g, "asia", "supplier#000000004"))
+_IMPACT_VERB = _walk("source", "target", f"{_A}, {MATCH.format('customer#000000001')}", 3)
+on_star("impact_verb", "SELECT d AS direct, i AS indirect, d + i AS blast_radius, round(least(1.0, (d + i) / (SELECT count(*) FROM nodes)), 6)::DOUBLE AS risk, 50 * (d + i) AS estimated_lines FROM (SELECT count(*) FILTER (depth = 1) AS d, count(*) FILTER (depth > 1) AS i FROM b3)", *_IMPACT_VERB)(
+    lambda g: verbs.impact(g, ["asia", "customer#000000001"])[0].withColumn("risk", F.round("risk", 6))
+)
+on_star("node_search", "SELECT id, label, type FROM (SELECT * FROM nodes WHERE contains(lower(label), '#00000000') ORDER BY ord, id LIMIT 50)")(lambda g: verbs.node_search(g, "#00000000"))
+on_star("node_detail", "SELECT id, label, type, source_file, NULL::VARCHAR AS source_location, 'EXTRACTED' AS confidence, language, false AS is_god_node, (SELECT count(*) FROM edges WHERE target = 's_1') AS in_degree, (SELECT count(*) FROM edges WHERE source = 's_1') AS out_degree FROM nodes WHERE id = 's_1'")(lambda g: verbs.node_detail(g, "s_1"))
+on_star("node_kinds", "SELECT type, type IN ('module', 'class', 'interface', 'function') AS code, false AS rationale, count(*) AS n FROM nodes GROUP BY type")(lambda g: g.nodes.groupBy("type").agg(F.count("*").alias("n")).select("type", is_code(F.col("type")).alias("code"), is_rationale(F.col("type")).alias("rationale"), "n"))
+
+# Whole builds, caches and documents.
+on_star("build_graph", "SELECT n.id, n.label, coalesce(degree >= (SELECT threshold FROM t) AND degree > 10, false) AS is_god_node FROM nodes n LEFT JOIN d USING (id)", DEGREE, P99)(
+    lambda g: build.build_graph(g.nodes.unionByName(g.nodes.withColumns({"label": F.lit("late"), "ord": F.col("ord") + 10**13})), g.edges.unionByName(g.edges)).nodes.select("id", "label", "is_god_node")
+)
+on_star("merge_verb", "SELECT id FROM (SELECT id FROM nodes UNION ALL SELECT 'shared::' || id FROM nodes WHERE type = 'module' UNION ALL SELECT 'shared2::' || id FROM nodes WHERE type = 'class')")(
+    lambda g: build.merge_all([("a/first", g), ("b/shared", Graph(g.nodes.where("type = 'module'"), g.edges)), ("c/shared/", Graph(g.nodes.where("type = 'class'"), g.edges))]).nodes.select("id")
+)
+on_star("accumulate_changed", "SELECT 'p::' || id AS id, label || '!' AS label FROM nodes WHERE type <> 'class'")(
+    lambda g: build.accumulate(build.accumulate(empty_graph(g.spark), g, "p"), Graph(g.nodes.where("type <> 'class'").withColumn("label", F.concat("label", F.lit("!"))), g.edges), "p").nodes.select("id", "label")
+)
+
+
+def _manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    path = new_path(spark, "manifest-")
+    incremental.save(docs.select(F.col("doc_id").cast("string").alias("path"), incremental.content_hash(F.coalesce("text", F.lit(""))).alias("hash"), F.col("lang").alias("language"), F.lit("x").alias("cached_result")), path)
+    return incremental.load(spark, path)
+
+
+register("manifest_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '')) AS hash, lang AS language, 'x' AS cached_result FROM documents")(_manifest_round_trip)
+
+
+def _document_round_trip(g: Graph) -> DataFrame:
+    path = new_path(g.spark, "document-")
+    graph_json.document(g).coalesce(1).write.text(path)
+    again = graph_json.read(g.spark, path)
+    return again.edges.select("source", "target", "relation", "weight").unionByName(again.nodes.select(F.col("id").alias("source"), F.col("label").alias("target"), F.col("type").alias("relation"), F.lit(0.0).alias("weight")))
+
+
+def _tables_round_trip(g: Graph) -> DataFrame:
+    path = new_path(g.spark, "tables-")
+    graph_json.write_tables(g, path)
+    return metrics.valid_edges(graph_json.read_tables(g.spark, path)).select("source", "target", "relation", "confidence", "weight")
+
+
+on_event("document_round_trip", "SELECT source, target, relation, weight FROM edges UNION ALL SELECT id, label, type, 0.0 FROM nodes")(_document_round_trip)
+on_star("tables_round_trip", "SELECT source, target, relation, confidence, weight FROM v", VALID)(_tables_round_trip)
+
+
+def _report(g: Graph) -> DataFrame:
+    """The report's lines of sizes and hubs."""
+    lines = export.report(g).split("\n")
+    kept = [x for x in lines if x.startswith(("- Nodes", "- Edges")) or x.endswith(" edges")]
+    return g.spark.createDataFrame(list(enumerate(kept, 1)), "line bigint, text string")
+
+
+on_star("report", "SELECT line, text FROM (SELECT 1 AS line, '- Nodes: ' || (SELECT count(*) FROM nodes) AS text UNION ALL SELECT 2, '- Edges: ' || (SELECT count(*) FROM v) UNION ALL SELECT 2 + row_number() OVER (ORDER BY degree DESC, label, id), '- ' || label || ': ' || degree || ' edges' FROM (SELECT id, coalesce(label, 'unknown') AS label, degree FROM d LEFT JOIN nodes USING (id) ORDER BY degree DESC, label, id LIMIT 10))", VALID, DEGREE)(_report)
+
 # Quality and differences.
 on_star("god_class", "SELECT id, in_degree, least(in_degree / 100, 1.0)::DOUBLE AS severity FROM (SELECT target AS id, count(*) AS in_degree FROM edges GROUP BY 1) JOIN nodes USING (id) WHERE type = 'class' AND in_degree > 50")(quality.god_classes)
 on_event("circular_deps", "SELECT DISTINCT least(a.source, a.target) AS a, greatest(a.source, a.target) AS b, 0.6::DOUBLE AS severity FROM edges a JOIN edges b ON a.source = b.target AND a.target = b.source")(quality.circular)
-on_star("dead_code", "SELECT id, 0.3::DOUBLE AS severity FROM nodes WHERE type = 'function' AND id NOT IN (SELECT source FROM e) AND id NOT IN (SELECT target FROM e)", "e AS (SELECT * FROM edges WHERE relation = 'contains')")(lambda g: quality.dead_code(Graph(g.nodes, g.edges.where("relation = 'contains'"))))
+on_star("dead_code", "SELECT id, 0.3::DOUBLE AS severity FROM nodes WHERE type = 'function' AND id NOT IN (SELECT source FROM edges) AND id NOT IN (SELECT target FROM edges)")(quality.dead_code)
+on_star("dead_code_within", "SELECT id, 0.3::DOUBLE AS severity FROM nodes WHERE type = 'function' AND id NOT IN (SELECT source FROM e) AND id NOT IN (SELECT target FROM e)", "e AS (SELECT * FROM edges WHERE confidence = 'AMBIGUOUS')")(lambda g: quality.dead_code(Graph(g.nodes, g.edges.where("confidence = 'AMBIGUOUS'"))))
+GOD = "god AS (SELECT id, c, least(c / 100, 1.0)::DOUBLE AS severity FROM (SELECT target AS id, count(*) AS c FROM edges GROUP BY 1) JOIN nodes USING (id) WHERE type = 'class' AND c > 50)"
+on_star("issues_shown", "SELECT 'god_class' AS type, id AS nodes, severity, row_number() OVER (ORDER BY severity DESC, id) AS rank, count(*) OVER () AS of FROM god QUALIFY rank <= 3", GOD)(lambda g: quality.issues_shown(quality.issues(g)).select("type", "nodes", "severity", "rank", "of"))
+on_star(
+    "analysis",
+    "(SELECT 'god_nodes' AS section, id AS name, degree::DOUBLE AS value FROM (SELECT id, coalesce(label, 'unknown') AS label, degree FROM d LEFT JOIN nodes USING (id) ORDER BY degree DESC, label, id LIMIT 10)) UNION ALL SELECT 'issues', 'god_class', count(*)::DOUBLE FROM god HAVING count(*) > 0 "
+    "UNION ALL SELECT 'health', 'score', round(coalesce(1 - 0.5 * avg(severity), 1.0), 6) FROM god UNION ALL SELECT 'style', name, n::DOUBLE FROM (SELECT unnest(['contains', 'imports', 'calls']) AS name, unnest([count(*) FILTER (relation = 'contains'), count(*) FILTER (relation LIKE 'imports%'), count(*) FILTER (relation = 'calls')]) AS n FROM edges)",
+    DEGREE, GOD,
+)(quality.analysis)
 on_star("health_score", "SELECT count(*) AS n_issues, round(coalesce(1 - 0.5 * avg(s), 1.0), 6) AS health FROM (SELECT least(c / 100, 1.0) AS s FROM (SELECT target AS id, count(*) AS c FROM edges GROUP BY 1) JOIN nodes USING (id) WHERE type = 'class' AND c > 50)")(quality.health)
 
 
@@ -277,17 +348,25 @@ register("size_reduction", "SELECT b AS source_bytes, 100000 AS graph_bytes, rou
 )
 
 # Communities and centrality. Membership by nation for the checks of what is computed from a membership.
-NEAR = "near AS (SELECT id, other, sum(weight) AS w FROM (SELECT source AS id, target AS other, weight FROM edges UNION ALL SELECT target, source, weight FROM edges) WHERE id <> other GROUP BY id, other)"
-
-
-def _rounds(k: int) -> list[str]:
-    out = ["l0 AS (SELECT id, id AS label FROM nodes)"]
-    for i in range(1, k + 1):
-        out.append(f"l{i} AS MATERIALIZED (SELECT n.id, coalesce(b.label, n.label) AS label FROM l{i - 1} n LEFT JOIN (SELECT near.id, l.label FROM near JOIN l{i - 1} l ON near.other = l.id GROUP BY near.id, l.label QUALIFY row_number() OVER (PARTITION BY near.id ORDER BY sum(w) DESC, l.label) = 1) b USING (id))")
+NEAR = "near AS (SELECT id, other, sum(weight) AS w FROM (SELECT source AS id, target AS other, weight FROM edges UNION ALL SELECT target, source, weight FROM edges) GROUP BY id, other)"
+
+
+def _moves(rounds: int) -> list[str]:
+    out = [
+        "strength AS MATERIALIZED (SELECT n.id, coalesce(sum(w), 0) AS k FROM nodes n LEFT JOIN near USING (id) GROUP BY n.id)", "whole AS MATERIALIZED (SELECT sum(k) AS m FROM strength)", "l0 AS (SELECT id, id AS label FROM nodes)",
+    ]
+    for i in range(1, rounds + 1):
+        out += [
+            f"t{i} AS MATERIALIZED (SELECT label, sum(k) AS total FROM l{i - 1} JOIN strength USING (id) GROUP BY label)",
+            f"m{i} AS MATERIALIZED (SELECT id, label AS own, k, total AS own_total FROM l{i - 1} JOIN strength USING (id) JOIN t{i} USING (label) WHERE (CAST('0x' || substring(md5(id || ':{(i + 1) // 2}'), 1, 1) AS INT) < 8) = {bool(i % 2)})",
+            f"o{i} AS MATERIALIZED (SELECT id, label, own, k, own_total, w * (SELECT m FROM whole) - k * (total - CASE WHEN label = own THEN k ELSE 0 END) AS gain FROM (SELECT n.id, l.label, sum(n.w) AS w FROM near n JOIN l{i - 1} l ON n.other = l.id WHERE n.id <> n.other GROUP BY n.id, l.label) JOIN m{i} USING (id) JOIN t{i} USING (label))",
+            f"g{i} AS (SELECT id, new FROM (SELECT id, label AS new, gain, k, own_total, row_number() OVER (PARTITION BY id ORDER BY gain DESC, label) AS rn FROM o{i} WHERE label <> own) LEFT JOIN (SELECT id, gain AS stay FROM o{i} WHERE label = own) USING (id) WHERE rn = 1 AND gain > coalesce(stay, -k * (own_total - k)))",
+            f"l{i} AS MATERIALIZED (SELECT l.id, coalesce(g.new, l.label) AS label FROM l{i - 1} l LEFT JOIN g{i} g USING (id))",
+        ]
     return out
 
 
-on_star("lpa_k_rounds", "SELECT id, label FROM l3", NEAR, *_rounds(3))(lambda g: community.propagate_labels(g, 3))
+on_star("community_moves", "SELECT id, label FROM l4", NEAR, *_moves(4))(lambda g: community.local_moves(g, 4))
 MEMBERS = "members AS (SELECT id AS node_id, CAST(ascii(substring(id, 1, 1)) AS BIGINT) AS community_id FROM nodes)"
 
 
@@ -303,58 +382,85 @@ on_star(
 on_star("community_hubs", "SELECT community_id, rank, node_id, degree FROM (SELECT community_id, node_id, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY community_id ORDER BY coalesce(degree, 0) DESC, node_id) AS rank FROM members LEFT JOIN d ON node_id = id) WHERE rank <= 3", MEMBERS, DEGREE)(lambda g: community.community_hubs(g, _members(g)))
 on_star("community_label", "SELECT community_id, size, type || ' (' || size || ' elements)' AS label FROM (SELECT community_id, type, CAST(sum(count(*)) OVER (PARTITION BY community_id) AS BIGINT) AS size, row_number() OVER (PARTITION BY community_id ORDER BY count(*) DESC, type) AS rn FROM members JOIN nodes ON node_id = id GROUP BY community_id, type) WHERE rn = 1", MEMBERS)(lambda g: community.community_labels(g, _members(g)))
 on_star("surprising_edges", "SELECT source, target, relation, confidence, 'Community ' || x.community_id || ' ↔ Community ' || y.community_id AS reason FROM edges JOIN members x ON source = x.node_id JOIN members y ON target = y.node_id WHERE confidence <> 'EXTRACTED' AND x.community_id <> y.community_id", MEMBERS)(lambda g: community.surprising(g, _members(g)))
-on_star("communities")(lambda g: community.communities(g, 5))
+on_star("communities")(community.communities)
 
 
-def _linked(g: Graph) -> Graph:
-    return Graph(g.nodes, g.edges.where("relation = 'contains'"))
+def _least(rounds: int) -> str:
+    """(k, id, label): in each round every node takes the least label of its neighbours."""
+    return f"r AS (SELECT 0 AS k, id, id AS label FROM nodes UNION ALL SELECT r.k + 1, r.id, least(r.label, coalesce(f.label, r.label)) FROM r LEFT JOIN (SELECT c.b AS id, min(r.label) AS label FROM c JOIN r ON c.a = r.id GROUP BY 1) f USING (id) WHERE r.k < {rounds})"
 
 
-on_star("weak_components", "SELECT id, min(root) AS component FROM reach GROUP BY id", "c AS (SELECT source AS a, target AS b FROM edges WHERE relation = 'contains' UNION ALL SELECT target, source FROM edges WHERE relation = 'contains')",
-    "top AS (SELECT n.id, coalesce('r_' || r, id) AS region FROM nodes n LEFT JOIN (SELECT 'r_' || r_regionkey AS id, r_regionkey AS r FROM region UNION ALL SELECT 'n_' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 's_' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'c_' || c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) USING (id))",
-    "reach AS (SELECT id, min(id) OVER (PARTITION BY region) AS root FROM top)",
-)(lambda g: community.weak_components(_linked(g)))
+on_star("weak_components", "SELECT id, label AS component FROM r WHERE k = 14", "c AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges)", _least(14))(community.weak_components)
+register("weak_components_chains", "SELECT id, min(id) OVER (PARTITION BY conv_id) AS component FROM (SELECT DISTINCT conv_id, 't_' || conv_id || '_' || turn AS id FROM conversations)")(lambda s, d: community.weak_components(graphs.conversation(s, d)))
 on_event("scc_small", "SELECT n.id, least(n.id, coalesce(min(f.b), n.id)) AS component FROM nodes n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) f ON f.a = n.id GROUP BY n.id", "reach AS (SELECT source AS a, target AS b FROM edges UNION SELECT reach.a, e.target FROM reach JOIN edges e ON e.source = reach.b)")(community.strong_components)
 on_star("scc_star", "SELECT id, id AS component FROM nodes")(community.strong_components)
 
 
-def _ranks(k: int) -> list[str]:
-    out = ["deg AS (SELECT source, count(*) AS d FROM edges GROUP BY 1)", "r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
-    for i in range(1, k + 1):
-        out.append(
-            f"r{i} AS MATERIALIZED (SELECT n.id, 0.15 / (SELECT count(*) FROM nodes) + 0.85 * (coalesce(f.flow, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT source FROM deg)) / (SELECT count(*) FROM nodes)) AS rank "
-            f"FROM nodes n LEFT JOIN (SELECT e.target AS id, sum(r.rank / deg.d) AS flow FROM edges e JOIN r{i - 1} r ON e.source = r.id JOIN deg ON deg.source = e.source GROUP BY 1) f USING (id))"
-        )
-    return out
-
-
-on_event("pagerank_small", "SELECT id, round(rank, 6) AS rank FROM r10", *_ranks(10))(lambda g: community.pagerank(g, iterations=10).withColumn("rank", F.round("rank", 6)))
-on_star("pagerank_star", "SELECT id, round(rank, 9) AS rank FROM r4", *_ranks(4))(lambda g: community.pagerank(g, iterations=4).withColumn("rank", F.round("rank", 9)))
+RANKS = [
+    "deg AS MATERIALIZED (SELECT source, count(*) AS d FROM edges GROUP BY 1)", "links AS MATERIALIZED (SELECT target, source, 1.0::DOUBLE / d AS share FROM edges JOIN deg USING (source))",
+    "marked AS MATERIALIZED (SELECT id, id NOT IN (SELECT source FROM deg) AS ends, (SELECT count(*) FROM nodes) AS n FROM nodes)",
+    "ranks AS (SELECT 0 AS k, id, 1.0::DOUBLE / n AS rank FROM marked UNION ALL SELECT m.k + 1, m.id, (0.15 + 0.85 * m.lost) / m.n + 0.85 * coalesce(f.flow, 0) "
+    "FROM (SELECT k, id, n, sum(CASE WHEN ends THEN rank ELSE 0 END) OVER () AS lost FROM ranks JOIN marked USING (id)) m LEFT JOIN (SELECT l.target AS id, sum(r.rank * l.share) AS flow FROM links l JOIN ranks r ON l.source = r.id GROUP BY 1) f USING (id) WHERE m.k < 100)",
+]
+on_event("pagerank_small", "SELECT id, round(rank, 6) AS rank FROM ranks WHERE k = 100", *RANKS)(lambda g: community.pagerank(g).withColumn("rank", F.round("rank", 6)))
+on_star("pagerank_star", "SELECT id, round(rank, 9) AS rank FROM ranks WHERE k = 100", *RANKS)(lambda g: community.pagerank(g).withColumn("rank", F.round("rank", 9)))
 
 _SCC = "reach AS (SELECT source AS a, target AS b FROM edges UNION SELECT reach.a, e.target FROM reach JOIN edges e ON e.source = reach.b)", "scc AS (SELECT n.id, least(n.id, coalesce(min(f.b), n.id)) AS component FROM nodes n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) f ON f.a = n.id GROUP BY n.id)"
 on_event("graph_summary", "SELECT n AS node_count, e AS edge_count, c AS components, c <= 1 AS is_connected FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e, count(DISTINCT component) AS c FROM scc)", *_SCC)(lambda g: community.summary(g).select("node_count", "edge_count", "components", "is_connected"))
-on_event("ranked_metrics", "SELECT id, in_degree, out_degree, total_degree, round(rank, 6) AS pagerank, total_degree > 50 AS is_god_node, out_degree = 0 AS is_leaf FROM io JOIN r5 USING (id)", IN_OUT, *_ranks(5))(lambda g: community.ranked_metrics(g, 5).withColumn("pagerank", F.round("pagerank", 6)))
+on_event("ranked_metrics", "SELECT id, in_degree, out_degree, total_degree, round(rank, 6) AS pagerank, total_degree > 50 AS is_god_node, out_degree = 0 AS is_leaf FROM io JOIN (SELECT id, rank FROM ranks WHERE k = 100) USING (id)", IN_OUT, *RANKS)(lambda g: community.ranked_metrics(g).withColumn("pagerank", F.round("pagerank", 6)))
 
 # Exports.
 on_star("neo4j_nodes", """SELECT id AS "nodeId:ID", label, type, language, 'false' AS "isGodNode:boolean", source_file AS "sourceFile" FROM nodes""")(export.neo4j_nodes)
 on_star("neo4j_relationships", """SELECT source AS ":START_ID", target AS ":END_ID", relation AS ":TYPE", upper(confidence[1]) || lower(confidence[2:]) AS confidence, weight AS "weight:float" FROM edges""")(export.neo4j_relationships)
 on_web("svg_layout", "SELECT id, label, false AS is_god_node, round(500 + 280 * cos(2 * pi() * i / n), 6) AS x, round(350 + 280 * sin(2 * pi() * i / n), 6) AS y FROM (SELECT *, row_number() OVER (ORDER BY ord, id) - 1 AS i, count(*) OVER () AS n FROM (SELECT * FROM nodes ORDER BY ord, id LIMIT 5000))")(export.svg_layout)
-on_star("mermaid_edges", "SELECT ord, '    ' || source || CASE confidence WHEN 'EXTRACTED' THEN ' -->' ELSE ' -.- ' END || '|' || CASE relation WHEN 'inherits' THEN 'extends' ELSE relation END || '| ' || target AS text FROM (SELECT * FROM edges ORDER BY ord LIMIT 100) WHERE relation IN ('calls', 'contains', 'imports', 'inherits', 'implements')")(export.mermaid_edges)
-on_web("vault_pages")(export.vault_pages)
+on_star("mermaid_edges", "SELECT place, '    ' || source || CASE confidence WHEN 'EXTRACTED' THEN ' -->' ELSE ' -.- ' END || '|' || CASE relation WHEN 'inherits' THEN 'extends' ELSE relation END || '| ' || target AS text FROM (SELECT *, row_number() OVER (ORDER BY ord) AS place FROM edges ORDER BY ord LIMIT 100) WHERE relation IN ('calls', 'contains', 'imports', 'inherits', 'implements')")(export.mermaid_edges)
+on_web(
+    "vault_pages",
+    "SELECT name, '# ' || min(label) || chr(10) || chr(10) || string_agg(DISTINCT about, chr(10) ORDER BY about) || chr(10) || chr(10) || coalesce(string_agg(DISTINCT line, chr(10) ORDER BY line), '') || chr(10) AS text FROM (SELECT id, p.name, p.label, 'Type: ' || type || '; file: ' || source_file AS about, '- ' || relation || ' [[' || coalesce(t.name, target) || ']]' AS line FROM pages_ p LEFT JOIN (SELECT source, target, relation FROM edges) e ON e.source = p.id LEFT JOIN (SELECT id AS target, name FROM pages_) t USING (target)) GROUP BY name",
+    r"plain AS (SELECT *, regexp_replace(regexp_replace(label, '[/\\:*?\"<>|]', '_', 'g'), '^\.', '_') AS plain FROM nodes)",
+    "pages_ AS MATERIALIZED (SELECT id, label, type, source_file, CASE WHEN count(*) OVER (PARTITION BY lower(plain)) > 1 OR octet_length(encode(plain)) > 200 THEN substring(plain, 1, 25) || '-' || substring(sha256(label), 1, 16) ELSE plain END AS name FROM plain)",
+)(export.vault_pages)
 
 
 # Streams.
-def _stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+def _two_batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Documents arrive as Markdown files in two batches, the second replacing some and deleting others."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("content"), "lang")
-    store = changes.Store(spark, new_path(spark, "stream-"))
     when = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    store.apply(docs.select("path", "content", F.lit(False).alias("deleted"), when.alias("ts")), 0)
+    first = docs.select("path", "content", F.lit(False).alias("deleted"), when.alias("ts"))
     second = docs.where("lang in ('en', 'fr')").select("path", F.concat(F.lit("# Changed\n"), "content").alias("content"), (F.col("lang") == "fr").alias("deleted"), (when + F.expr("interval 1 hour")).alias("ts"))
-    store.apply(second, 1)
-    return store.graph().nodes.where("type = 'file'").select("id", F.col("source_file").alias("path"))
+    return first, second
+
+
+def _upserted(graph: Graph) -> DataFrame:
+    return graph.nodes.select("id", "label", "type", F.col("source_file").alias("path"))
 
 
-register("change_batch_upsert")(_stream_upsert)
+def _batch_upsert(spark: SparkSession, d: str) -> DataFrame:
+    store = changes.Store(spark, new_path(spark, "store-"))
+    for k, batch in enumerate(_two_batches(spark, d)):
+        store.apply(batch, k)
+    return _upserted(store.graph())
+
+
+def _stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The same through a stream of JSON files: each batch arrives, and a query runs over what is there."""
+    inbox, store, checkpoint = new_path(spark, "inbox-"), changes.Store(spark, new_path(spark, "store-")), new_path(spark, "check-")
+    for batch in _two_batches(spark, d):
+        batch.coalesce(1).write.mode("append").json(inbox)
+        changes.keep_up(changes.read(spark, inbox), store, checkpoint, None).awaitTermination()
+    return _upserted(store.graph())
+
+
+UPSERTED = r"""
+WITH f AS (SELECT source || '/d' || doc_id || '.md' AS path, 'd' || doc_id AS stem, regexp_replace(source || '_d' || doc_id, '[^\p{L}\p{N}_-]', '_', 'g') AS file_id,
+    CASE WHEN lang = 'en' THEN '# Changed' || chr(10) ELSE '' END || '# ' || source || chr(10) || coalesce(text, '') AS content FROM documents WHERE source IS NOT NULL AND coalesce(lang, '') <> 'fr'),
+lines AS (SELECT path, stem, n, rtrim(parts[n], chr(13)) AS line FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT *, string_split(content, chr(10)) AS parts FROM f))),
+heads AS (SELECT path, stem, n, regexp_extract(line, '^(#{1,6})\s+(.+)', 1) AS h, trim(regexp_extract(line, '^(#{1,6})\s+(.+)', 2)) AS t FROM lines WHERE line LIKE '#%')
+SELECT file_id AS id, path AS label, 'file' AS type, path FROM f
+UNION ALL SELECT id, t, type, path FROM (SELECT path, n, t, stem || '_' || regexp_replace(t, '[^\p{L}\p{N}_-]', '_', 'g') AS id, CASE WHEN h = '#' THEN 'class' ELSE 'function' END AS type FROM heads WHERE h <> '') QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) = 1
+"""
+register("change_batch_upsert", UPSERTED)(_batch_upsert)
+register("stream_upsert", UPSERTED)(_stream_upsert)
 register("events_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")(lambda s, d: changes.events_tumbling(s.read.parquet(f"{d}/events.parquet")))
 register("events_session", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")(lambda s, d: changes.events_sessions(s.read.parquet(f"{d}/events.parquet")))

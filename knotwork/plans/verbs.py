@@ -112,6 +112,13 @@ def node_search(graph: Graph, text: str, most: int = SHOWN_NODES) -> DataFrame:
     return find_nodes(graph, text).orderBy("ord", "id").limit(most).select("id", "label", "type")
 
 
+def node_detail(graph: Graph, id_: str) -> DataFrame:
+    """One row, if there is such a node: what is known of it, and how many edges enter and leave it, dangling ones included."""
+    e = graph.edges.where((F.col("source") == id_) | (F.col("target") == id_))
+    ends = e.agg(F.count_if(F.col("target") == id_).alias("in_degree"), F.count_if(F.col("source") == id_).alias("out_degree"))
+    return graph.node(id_).select("id", "label", "type", "source_file", "source_location", "confidence", "language", "is_god_node").crossJoin(ends)
+
+
 def label_communities(communities: DataFrame, namer) -> DataFrame:
     """communities(community_id, label, ...) with labels by namer, a function from a pandas series of labels to another.
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 import html
 import json
 import os
-import re
-from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +22,11 @@ from . import graph_json
 MERMAID_EDGES = 100
 MERMAID_COMMUNITIES = 8
 DRAWN_NODES = 5_000
+#: Bytes of a page's name; file systems allow 255 with its ending.
+NAME_BYTES = 200
+#: A document is a row of a table, which can't be larger than memory.
+ONE_ROW = 2_000_000
+VAULT_PAGES = ("GOD_NODES", "COMMUNITIES", "INDEX")
 SHOWN_RELATIONS = {"calls": "calls", "contains": "contains", "imports": "imports", "inherits": "extends", "implements": "implements"}
 SHAPES = {"class": ("([", "])"), "interface": ("{{", "}}"), "enum": ("((", "))"), "file": ("[/", "/]")}
 
@@ -56,16 +59,17 @@ def mermaid_nodes(graph: Graph) -> DataFrame:
 
 
 def mermaid_edges(graph: Graph, most: int = MERMAID_EDGES) -> DataFrame:
-    """(ord, text): a line for each of the first edges whose relation is drawn."""
-    first = graph.edges.orderBy("ord", "source", "target", "relation").limit(most)
+    """(place, text): a line for each of the first edges whose relation is drawn, by their place among those."""
+    order = ["ord", "source", "target", "relation"]
+    first = graph.edges.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # few rows
     label = F.coalesce(*(F.when(F.col("relation") == r, F.lit(t)) for r, t in SHOWN_RELATIONS.items()))
     arrow = F.when(F.col("confidence") == "EXTRACTED", " -->").otherwise(" -.- ")
-    return first.where(label.isNotNull()).select("ord", F.concat(F.lit("    "), _safe(F.col("source")), arrow, F.lit("|"), label, F.lit("| "), _safe(F.col("target"))).alias("text"))
+    return first.where(label.isNotNull()).select("place", F.concat(F.lit("    "), _safe(F.col("source")), arrow, F.lit("|"), label, F.lit("| "), _safe(F.col("target"))).alias("text"))
 
 
 def mermaid(graph: Graph, members: DataFrame | None = None, most_nodes: int = DRAWN_NODES) -> str:
     rows = mermaid_nodes(graph).orderBy("ord", "id").limit(most_nodes).collect()
-    out = ["# Architecture Call-Flow Diagram", "", "```mermaid", "graph TD", *(r.text for r in rows), *(r.text for r in mermaid_edges(graph).orderBy("ord", "text").collect())]
+    out = ["# Architecture Call-Flow Diagram", "", "```mermaid", "graph TD", *(r.text for r in rows), *(r.text for r in mermaid_edges(graph).orderBy("place").collect())]
     if members is not None:
         labels = community.community_labels(graph, members).orderBy(F.desc("size"), "community_id").limit(MERMAID_COMMUNITIES)
         inside = members.join(F.broadcast(labels), "community_id").join(graph.nodes.select(F.col("id").alias("node_id")).limit(most_nodes), "node_id", "left_semi")  # eight labels
@@ -124,49 +128,71 @@ def report(graph: Graph, members: DataFrame | None = None, now: datetime | None
     return "\n".join([*out, ""])
 
 
+def page_names(nodes: DataFrame) -> DataFrame:
+    """(id, name, type, source_file): the page of each node, named by its label.
+
+    Characters that file names can't have become _. A name that this makes equal to another label's, that is one of the vault's own
+    pages or is longer than a file name may be ends in a hash of the label, so that no two labels share a page.
+    """
+    label = F.coalesce("label", F.col("id"))
+    plain = F.regexp_replace(F.regexp_replace(label, r'[/\\:*?"<>|\x00-\x1f]', "_"), r"^\.", "_")
+    labels = nodes.select(label.alias("full"), plain.alias("plain")).distinct()
+    shared = labels.groupBy(F.lower("plain").alias("low")).agg(F.count("*").alias("m"))
+    odd = (F.col("m") > 1) | F.col("plain").isin(*VAULT_PAGES) | (F.octet_length("plain") > NAME_BYTES) | (F.col("plain") == "")
+    short = F.substring("plain", 1, NAME_BYTES // 8)  # at most four bytes a character
+    named = labels.join(shared, F.lower("plain") == F.col("low")).select("full", F.when(odd, F.concat(short, F.lit("-"), F.substring(F.sha2("full", 256), 1, 16))).otherwise(F.col("plain")).alias("name"))
+    return nodes.select("id", label.alias("full"), "type", "source_file").join(named, "full").select("id", "full", "name", "type", "source_file")
+
+
 def vault_pages(graph: Graph) -> DataFrame:
     """(name, text): a page for each label with its kinds and links; nodes of equal label share one."""
-    name = F.regexp_replace(F.coalesce("label", F.col("id")), r'[/\\:*?"<>|]', "_")
-    nodes = graph.nodes.select("id", name.alias("name"), "type", "source_file")
+    nodes = page_names(graph.nodes)
     target = nodes.select(F.col("id").alias("target"), F.col("name").alias("to"))
     links = graph.edges.select("source", "target", "relation").join(target, "target", "left")
-    lines = links.groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("- "), "relation", F.lit(" [["), F.coalesce("to", "target"), F.lit("]]")))).alias("lines"))
-    both = nodes.join(lines, "id", "left")
+    lines = links.select(F.col("source").alias("id"), F.concat(F.lit("- "), "relation", F.lit(" [["), F.coalesce("to", "target"), F.lit("]]")).alias("line")).distinct()
     about = F.concat(F.lit("Type: "), F.coalesce("type", F.lit("unknown")), F.coalesce(F.concat(F.lit("; file: "), F.col("source_file")), F.lit("")))
-    pages = both.groupBy("name").agg(F.array_sort(F.collect_set(about)).alias("about"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("lines", F.array().cast("array<string>")))))).alias("lines"))
-    return pages.select("name", F.concat(F.lit("# "), "name", F.lit("\n\n"), F.array_join("about", "\n"), F.lit("\n\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("text"))
-
-
-def _page_writer(path: str) -> Callable:
-    def write(rows) -> None:
-        os.makedirs(path, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(path, re.sub(r"^\.+", "_", r.name)[:200] + ".md"), "w", encoding="utf-8") as f:
-                f.write(r.text)
-
-    return write
+    parts = nodes.select("name", "full", F.lit(0).alias("kind"), about.alias("line")).unionByName(nodes.join(lines, "id").select("name", "full", F.lit(1).alias("kind"), "line"))
+    pages = parts.groupBy("name").agg(F.min("full").alias("full"), F.array_sort(F.collect_set(F.struct("kind", "line"))).alias("x"))
+    text = lambda k: F.array_join(F.transform(F.filter("x", lambda r: r["kind"] == k), lambda r: r["line"]), "\n")
+    return pages.select("name", F.concat(F.lit("# "), "full", F.lit("\n\n"), text(0), F.lit("\n\n"), text(1), F.lit("\n")).alias("text"))
 
 
 def write_vault(graph: Graph, path: str, members: DataFrame | None = None) -> None:
-    """A folder of Markdown pages: one for each label, the 20 god nodes, the communities, and an index. Each task writes
-    its own pages to path, which all machines must see."""
-    vault_pages(graph).foreachPartition(_page_writer(path))
-    gods = metrics.god_nodes(graph, 20).collect()
-    texts = {"GOD_NODES": "# God nodes\n\n" + "".join(f"- [[{r.label}]]: {r.degree}\n" for r in gods)}
-    if members is not None:
-        rows = community.community_labels(graph, members).orderBy(F.desc("size"), "community_id").limit(1000).collect()
-        texts["COMMUNITIES"] = "# Communities\n\n" + "".join(f"- {r.community_id}: {r.label}\n" for r in rows)
-    texts["INDEX"] = "# Index\n\n" + "".join(f"- [[{k}]]\n" for k in texts)
+    """A folder of Markdown pages on the driver's machine: one for each label, the 20 god nodes, the communities, and an index
+    of all. Pages come to the driver a partition at a time; write_vault_table keeps a vault of any size as a table."""
     os.makedirs(path, exist_ok=True)
-    for name, text in texts.items():
+
+    def put(name: str, text: str) -> None:
         with open(os.path.join(path, f"{name}.md"), "w", encoding="utf-8") as f:
             f.write(text)
 
+    names = []
+    for r in vault_pages(graph).toLocalIterator():
+        put(r.name, r.text)
+        names.append(r.name)
+    gods = metrics.god_nodes(graph, 20).join(page_names(graph.nodes).select("id", "name"), "id", "left").orderBy(F.desc("degree"), "label", "id").collect()
+    put("GOD_NODES", "# God nodes\n\n" + "".join(f"- [[{r.name or r.id}]]: {r.degree}\n" for r in gods))
+    extra = ["GOD_NODES"]
+    if members is not None:
+        rows = community.community_labels(graph, members).orderBy(F.desc("size"), "community_id").toLocalIterator()
+        put("COMMUNITIES", "# Communities\n\n" + "".join(f"- {r.community_id}: {r.label}\n" for r in rows))
+        extra.append("COMMUNITIES")
+    put("INDEX", "# Index\n\n" + "".join(f"- [[{k}]]\n" for k in extra + sorted(names)))
+
+
+def write_vault_table(graph: Graph, path: str) -> None:
+    """The pages (name, text) as a table, written by all machines."""
+    vault_pages(graph).write.mode("overwrite").parquet(path)
+
 
 def write_all(graph: Graph, path: str, members: DataFrame | None = None, now: datetime | None = None) -> None:
-    """Every export below path."""
+    """Every export below path, on a file system that driver and executors share. The graph is in one document up to ONE_ROW
+    nodes and edges, in lines beyond."""
     os.makedirs(path, exist_ok=True)
-    graph_json.document(graph).coalesce(1).write.mode("overwrite").text(f"{path}/graph.json")
+    if graph.nodes.count() + graph.edges.count() <= ONE_ROW:
+        graph_json.document(graph).coalesce(1).write.mode("overwrite").text(f"{path}/graph.json")
+    else:
+        graph_json.json_lines(graph).write.mode("overwrite").text(f"{path}/graph.jsonl")
     write_neo4j(graph, path)
     for name, text in (("graph.html", page(graph)), ("GRAPH_REPORT.md", report(graph, members, now)), ("callflow.md", mermaid(graph, members)), ("graph.svg", svg(graph))):
         with open(os.path.join(path, name), "w", encoding="utf-8") as f:

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tomllib
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
+from ..session import ship
+from ..storage import table
 
 NOISE = (
     ".git", ".hg", ".svn", ".venv", "venv", "node_modules", "target", "dist", "build", "__pycache__", ".mypy_cache", ".pytest_cache", ".tox", ".idea", ".vscode", ".next", "vendor", "coverage",
@@ -61,25 +68,94 @@ def is_noise(path: Column) -> Column:
     return path.rlike("(^|/)(" + "|".join(n.replace(".", r"\.") for n in NOISE) + ")/")
 
 
-def scan(spark: SparkSession, root: str, max_mb: int = MAX_MB) -> DataFrame:
-    """(path, length, modificationTime, language, category) of the files below root.
+def open_folder(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, given by path or URI, and the folder's path there."""
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:/", root):
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), os.path.abspath(root)
+
+
+LISTED = "path string, folder boolean, length bigint, modificationTime timestamp"
+
+
+def _list(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """From folders (path relative to root) to what is in them. Links to folders are not followed."""
+
+    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_folder(root)
+        local = isinstance(system, fs.LocalFileSystem)
+        for b in stream:
+            rows = []
+            for folder in b["path"]:
+                at = f"{base.rstrip('/')}/{folder}".rstrip("/") or "/"
+                for f in system.get_file_info(fs.FileSelector(at, allow_not_found=bool(folder))):
+                    if f.type == fs.FileType.NotFound or (f.type == fs.FileType.Directory and local and os.path.islink(f.path)):
+                        continue
+                    rows.append((f"{folder}/{f.base_name}".lstrip("/"), f.type == fs.FileType.Directory, f.size or 0, f.mtime))
+            yield pd.DataFrame(rows, columns=["path", "folder", "length", "modificationTime"])
+
+    return run
+
 
-    Files in noise folders, hidden ones and those over max_mb are left out, as are unknown kinds. Contents are not read.
+def _found(spark: SparkSession, root: str, max_mb: int) -> DataFrame:
+    """(path, length, modificationTime) of the files below root that count, as a written table.
+
+    Folders are listed a level at a time by all machines, and noise folders are never entered. root may be a path or a URI, and
+    names are what they are: no pattern, quoting or coding applies to them.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    ship(spark)
+    system, base = open_folder(root)
+    if system.get_file_info(base).type != fs.FileType.Directory:
+        raise FileNotFoundError(root)
+    level, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        listed = table(level.mapInPandas(_list(root), LISTED))
+        levels.append(listed)
+        level = listed.where("folder").select("path").where(~is_noise(F.concat("path", F.lit("/"))))
+        if level.isEmpty():
+            break
+        level = level.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = file_name(F.col("path"))
     hidden = name.startswith(".") & ~name.isin(*KEPT_HIDDEN)
-    below = F.expr(f"substring(path, instr(path, '{os.path.basename(os.path.normpath(root))}'))")
-    return classify(found.where(~is_noise(below) & ~hidden & (F.col("length") <= max_mb * 1024 * 1024)))
+    return reduce(DataFrame.unionByName, levels).where(~F.col("folder") & ~hidden & (F.col("length") <= max_mb * 1024 * 1024)).drop("folder")
+
+
+def scan(spark: SparkSession, root: str, max_mb: int = MAX_MB) -> DataFrame:
+    """(path, length, modificationTime, language, category) of the files below root, path relative to it.
+
+    Files in noise folders below root, hidden ones and those over max_mb are left out, as are unknown kinds. Contents are not
+    read.
+    """
+    return classify(_found(spark, root, max_mb))
+
+
+def _text(content: bytes) -> str:
+    """UTF-8, or where it is not, Latin-1, in which every byte is a character."""
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        return content.decode("latin-1")
 
 
 def read(spark: SparkSession, root: str, max_mb: int = MAX_MB, categories: tuple[str, ...] = ("Code",)) -> DataFrame:
-    """files(path, content, language) of the categories, path relative to root."""
-    listed = scan(spark, root, max_mb).where(F.col("category").isin(*categories)).select(F.col("path").alias("p"), "language")
-    text = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_mb * 1024 * 1024)
-    base = os.path.abspath(root).rstrip("/") + "/"
-    relative = F.regexp_replace("path", "^(file:)?/*" + base.lstrip("/").replace(".", r"\."), "")
-    return text.select("path", F.decode("content", "UTF-8").alias("content")).join(listed, F.col("path") == F.col("p")).select(relative.alias("path"), "content", "language")
+    """files(path, content, language) of the categories, path relative to root; only their contents are read, once each. A
+    file that goes meanwhile is left out."""
+    chosen = scan(spark, root, max_mb).where(F.col("category").isin(*categories)).select("path", "language")
+
+    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_folder(root)
+        for b in stream:
+            for k in range(0, len(b), 64):
+                rows = []
+                for path, language in b[k : k + 64].itertuples(index=False):
+                    try:
+                        with system.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
+                            rows.append((path, _text(f.read()), language))
+                    except FileNotFoundError:
+                        continue
+                yield pd.DataFrame(rows, columns=["path", "content", "language"])
+
+    return chosen.mapInPandas(run, "path string, content string, language string")
 
 
 def by_category(files: DataFrame) -> DataFrame:
@@ -129,13 +205,14 @@ _MANIFESTS = {"Cargo.toml": _cargo, "pyproject.toml": _pyproject, "go.mod": _go_
 
 
 def manifest_dependencies(spark: SparkSession, root: str) -> DataFrame:
-    """(name, version, manifest) of the four manifests in root itself; unreadable ones give nothing. Comments in go.mod
-    are not dependencies."""
+    """(name, version, manifest) of the four manifests in root itself, of any file system; unreadable ones give nothing.
+    Comments in go.mod are not dependencies."""
     rows: list[tuple[str, str | None, str]] = []
+    system, base = open_folder(root)
     for name, parse in _MANIFESTS.items():
         try:
-            with open(os.path.join(root, name), encoding="utf-8") as f:
-                rows += parse(f.read())
-        except (OSError, ValueError):
+            with system.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
+                rows += parse(f.read().decode("utf-8"))
+        except (OSError, ValueError, AttributeError, TypeError):
             continue
     return spark.createDataFrame(rows, _DEPS)

@@ -42,10 +42,23 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+    """df as a table in buckets by a column, so that joins and groupings by it don't shuffle it again."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"knotwork_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.format("parquet").bucketBy(n, column).sortBy(column).option("path", new_path(spark)).saveAsTable(name)
+    spark.sparkContext._knotwork_names = [*getattr(spark.sparkContext, "_knotwork_names", []), name]
+    return spark.table(name)
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes the tables of this application; results that were not written elsewhere go with them."""
     sc = spark.sparkContext
     if sc._jsc is None:  # stopped
         return
+    for name in getattr(sc, "_knotwork_names", []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    sc._knotwork_names = []
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/knotwork/{sc.applicationId}")
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

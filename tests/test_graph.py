@@ -42,7 +42,9 @@ def test_diamond_and_parallel_edges(spark):
     assert got(traverse.all_paths(g, "a", "d", 3)) == [("a>b>d", 3), ("a>c>d", 3), ("a>c>d", 3)]
     assert got(traverse.all_paths(g, "a", "d", 2)) == []
     assert got(traverse.all_paths(g, "a", "a", 3)) == [("a", 1)]
-    assert [r.id for r in traverse.shortest_path(g, "a", "d").orderBy("step").collect()] == ["a", "b", "d"]
+    for local in (0, 100):
+        assert [r.id for r in traverse.shortest_path(g, "a", "d", local).orderBy("step").collect()] == ["a", "b", "d"]
+        assert got(traverse.shortest_path(g, "d", "a", local)) == []
 
 
 def test_hubs_self_loops_and_dangling(spark):
@@ -78,33 +80,130 @@ def test_god_class_needs_more_than_fifty(spark):
     assert got(quality.god_classes(g)) == [("k", 51, 0.51)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, community.LOCAL_EDGES])
+def test_components(spark, local):
     g = graph(spark, list("abcdefg"), ["ab", "bc", "ca", "cd", "de", "ed", "ff"])
-    assert dict(got(community.strong_components(g))) == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f", "g": "g"}
+    assert dict(got(community.strong_components(g, local))) == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f", "g": "g"}
     assert dict(got(community.weak_components(g))) == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "a", "f": "f", "g": "g"}
-    long = graph(spark, [f"n{k:03}" for k in range(40)], [(f"n{k + 1:03}", f"n{k:03}") for k in range(39)])
-    assert {r.component for r in community.weak_components(long).collect()} == {"n000"}
 
 
-def test_pagerank_sums_to_one(spark):
-    g = graph(spark, list("abcd"), ["ab", "ac", "bc", "ca"])
-    ranks = {r.id: r["rank"] for r in community.pagerank(g, iterations=12).collect()}
-    assert sum(ranks.values()) == pytest.approx(1)
-    assert ranks["c"] > ranks["b"] > ranks["d"]
-
-
-def test_communities_partition(spark):
-    nodes = [f"a{k}" for k in range(5)] + [f"b{k}" for k in range(5)]
-    chain = lambda p: [(f"{p}{i}", f"{p}{j}") for i in range(5) for j in range(i)]
-    g = graph(spark, nodes, chain("a") + chain("b") + [("a0", "b0")])
-    m = community.communities(g)
-    assert m.count() == 10 and m.select("node_id").distinct().count() == 10
-    by = {r.node_id: r.community_id for r in m.collect()}
-    assert len({by[f"a{k}"] for k in range(5)}) == 1 and by["a0"] != by["b0"]
-    assert sum(r.modularity for r in community.modularity(g, m).collect()) > 0.3
-    assert {r.label for r in community.community_labels(g, m).collect()} == {"function (5 elements)"}
-    lone = graph(spark, ["a", "b"], [])
-    assert got(community.communities(lone)) == [("a", 0), ("b", 0)]
+def test_long_chains_and_cycles(spark):
+    names = [f"n{k * 7919 % 1000:03}" for k in range(300)]
+    cycle = graph(spark, names, [(names[k], names[(k + 1) % 300]) for k in range(300)] + [(names[0], "out")])
+    assert {r.component for r in community.strong_components(cycle).collect()} == {min(names)}
+    chain = graph(spark, names, [(names[k + 1], names[k]) for k in range(299)])
+    assert {r.component for r in community.weak_components(chain).collect()} == {min(names)}
+    assert community.strong_components(chain).where("id <> component").count() == 0
+
+
+def test_long_walks(spark):
+    names = [f"n{k * 7919 % 1000:03}" for k in range(111)]
+    g = graph(spark, names, [(names[k], names[k + 1]) for k in range(110)])
+    assert [r.id for r in traverse.shortest_path(g, names[0], names[110]).orderBy("step").collect()] == names
+
+
+def brute_ranks(nodes, edges, iterations=100):
+    out = {x: [t for s, t in edges if s == x] for x in nodes}
+    ranks = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(iterations):
+        lost = sum(ranks[x] for x in nodes if not out[x])
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * lost) / len(nodes))
+        for x in nodes:
+            for t in out[x]:
+                new[t] += 0.85 * ranks[x] / len(out[x])
+        ranks = new
+    return ranks
+
+
+def test_pagerank(spark):
+    edges = ["ab", "ac", "bc", "ca", "ad", "ad"]
+    for nodes, local, rounds in (("abcd", 10, 100), ("abcdef", 10, 100), ("abcdef", 0, 7)):
+        g = graph(spark, list(nodes), edges)
+        ranks = {r.id: r["rank"] for r in community.pagerank(g, iterations=rounds, local=local).collect()}
+        assert sum(ranks.values()) == pytest.approx(1)
+        assert ranks == pytest.approx(brute_ranks(nodes, edges, rounds), abs=1e-11)
+
+
+def modularity(edges, of):
+    m = len(edges)
+    degree, inside = {}, {}
+    for a, b in edges:
+        for x in (a, b):
+            degree[of[x]] = degree.get(of[x], 0) + 1
+        inside[of[a]] = inside.get(of[a], 0) + (of[a] == of[b])
+    return sum(inside.get(c, 0) / m - (d / (2 * m)) ** 2 for c, d in degree.items())
+
+
+def louvain(nodes, edges):
+    """Plain sequential Louvain: communities of nodes."""
+    of = {x: x for x in nodes}
+    weights = {}
+    for a, b in edges:
+        for x, y in ((a, b), (b, a)):
+            weights.setdefault(x, {})
+            weights[x][y] = weights[x].get(y, 0) + 1
+    whole = 2 * len(edges)
+    while True:
+        at, strength = {x: x for x in weights}, {x: sum(w.values()) for x, w in weights.items()}
+        total, moved = dict(strength), True
+        while moved:
+            moved = False
+            for x in sorted(weights):
+                to = {at[x]: 0}
+                for y, w in weights[x].items():
+                    if y != x:
+                        to[at[y]] = to.get(at[y], 0) + w
+                total[at[x]] -= strength[x]
+                best = max(sorted(to), key=lambda c: (to[c] - strength[x] * total[c] / whole, c == at[x]))
+                moved |= best != at[x]
+                at[x] = best
+                total[best] += strength[x]
+        if len(set(at.values())) == len(weights):
+            return of
+        of = {x: at.get(c, c) for x, c in of.items()}
+        merged = {}
+        for x, ws in weights.items():
+            for y, w in ws.items():
+                merged.setdefault(at[x], {})
+                merged[at[x]][at[y]] = merged[at[x]].get(at[y], 0) + w
+        weights = merged
+
+
+def test_small_communities(spark):
+    def of(nodes, edges):
+        return {r.node_id: r.community_id for r in community.communities(graph(spark, nodes, edges)).collect()}
+
+    assert len(set(of(["a", "b"], ["ab"]).values())) == 1
+    assert len(set(of(["hub", "x", "y", "z"], [("hub", c) for c in "xyz"]).values())) == 1
+    cliques = [f"{p}{k}" for p in "ab" for k in range(5)]
+    by = of(cliques, [(f"{p}{i}", f"{p}{j}") for p in "ab" for i in range(5) for j in range(i)] + [("a0", "b0")])
+    assert {by[f"a{k}"] for k in range(5)} == {by["a0"]} != {by["b0"]} == {by[f"b{k}"] for k in range(5)}
+    assert of(["a", "b"], []) == {"a": 0, "b": 0}
+    assert len(set(of(["a", "b", "c"], ["ab", "aa"]).values())) == 2
+    star = graph(spark, ["hub", "x", "y", "alone"], [("hub", "x"), ("hub", "y"), ("y", "x", "calls"), ("hub", "hub")])
+    assert got(community.communities(star, local=0)) == got(community.communities(star))
+
+
+@pytest.mark.parametrize("kind", ["ring", "blocks", "bipartite"])
+def test_communities_are_as_good_as_louvain(spark, kind):
+    import random
+
+    r = random.Random(kind)
+    if kind == "ring":
+        edges = [(f"{p}_{i}", f"{p}_{j}") for p in range(8) for i in range(5) for j in range(i)] + [(f"{p}_0", f"{(p + 1) % 8}_1") for p in range(8)]
+    elif kind == "blocks":
+        names = [f"{k % 4}_{k}" for k in range(60)]
+        edges = [(a, b) for i, a in enumerate(names) for b in names[:i] if r.random() < (0.4 if a[0] == b[0] else 0.03)]
+    else:
+        edges = [(f"l{k % 30}", f"r{(k % 30 * 2 + r.randrange(6)) % 40}") for k in range(120)]
+        edges = sorted(set(edges))
+    nodes = sorted({x for e in edges for x in e})
+    g = graph(spark, nodes, edges)
+    members = community.communities(g)
+    of = {x.node_id: x.community_id for x in members.collect()}
+    assert sorted(of) == nodes
+    assert modularity(edges, of) >= modularity(edges, louvain(nodes, edges)) - 0.02
+    assert sum(x.modularity for x in community.modularity(g, members).collect()) == pytest.approx(modularity(edges, of), abs=1e-4)
 
 
 def test_merge_and_accumulate(spark):
@@ -116,6 +215,11 @@ def test_merge_and_accumulate(spark):
     assert both.nodes.count() == 6 and both.nodes.select("id").distinct().count() == 6
     once = build.accumulate(a, b, "p")
     assert build.accumulate(once, b, "p").nodes.count() == 4
+    # A later version takes the place of what the project had; then the project is forgotten.
+    later = build.accumulate(once, graph(spark, [("x", "new label", "class"), "w"], ["xw"]), "p")
+    assert got(later.nodes.select("id", "label")) == [("a", "a"), ("b", "b"), ("p::w", "w"), ("p::x", "new label")]
+    assert got(later.edges.select("source", "target")) == [("a", "b"), ("p::x", "p::w")]
+    assert got(build.forget(later, "p").nodes.select("id")) == [("a",), ("b",)]
 
 
 def test_dedupe_and_inference(spark):
@@ -217,6 +321,26 @@ def test_exports(spark, tmp_path):
     graph_json.write_tables(g, str(tmp_path / "t"))
     assert graph_json.read_tables(spark, str(tmp_path / "t")).nodes.count() == 2
     assert graph_json.json_lines(g).count() == 3
+    assert (tmp_path / "out/vault/INDEX.md").read_text().count("[[") == 4
+    export.write_vault_table(g, str(tmp_path / "vault"))
+    assert spark.read.parquet(str(tmp_path / "vault")).count() == 2
+
+
+def test_vault_names(spark, tmp_path):
+    wide, long = "漢" * 150, "x" * 300
+    labels = [wide, wide + "字", long, long + "y", "a/b", "a:b", "Same", "same", "INDEX", ".hidden", "plain", "plain"]
+    g = graph(spark, [(f"n{k}", x, "class") for k, x in enumerate(labels)], [("n0", "n1"), ("n10", "gone")])
+    export.write_vault(g, str(tmp_path / "v"))
+    pages = {p.name: p.read_text().split("\n")[0] for p in (tmp_path / "v").iterdir() if p.stem not in ("INDEX", "GOD_NODES")}
+    assert sorted(pages.values()) == sorted(f"# {x}" for x in set(labels))
+    assert "plain.md" in pages and "_hidden.md" in pages and all(len(n.encode()) < 255 for n in pages)
+    names = {r.id: r.name for r in export.page_names(g.nodes).collect()}
+    assert f"- calls [[{names['n1']}]]" in (tmp_path / f"v/{names['n0']}.md").read_text()
+
+
+def test_large_orders(spark):
+    n = spark.createDataFrame([("a", "second", 10**18), ("a", "first", 10**18 - 1)], "id string, label string, ord bigint")
+    assert build.dedupe_nodes(as_nodes(n)).first().label == "first"
 
 
 def test_empty_graph(spark):
@@ -225,6 +349,7 @@ def test_empty_graph(spark):
     assert metrics.graph_stats(g).first().node_count == 0
     assert metrics.graph_stats(g).first().density == 1.0
     assert community.communities(g).count() == 0
+    assert community.local_moves(g).count() == 0 and community.strong_components(g).count() == 0
     assert community.pagerank(g, iterations=2).count() == 0
     assert community.weak_components(g).count() == 0
     assert traverse.all_paths(g, "a", "b", 4).count() == 0
