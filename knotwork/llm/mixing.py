@@ -63,14 +63,12 @@ def _copies(docs: DataFrame, weights: Mapping[str, float] | None, total: int | N
 
     def shares(df: DataFrame, of: DataFrame) -> DataFrame:
         df = df.join(F.broadcast(of) if few else of, F.col("__kw_source") == F.col("__kw_s"))
-        share = F.col("__kw_target") * F.col("__kw_size")
-        df = df.withColumns({"__kw_sure": F.floor(share / F.col("__kw_whole")).cast("bigint"), "__kw_rest": F.pmod(share, F.col("__kw_whole"))})
-        # The quotient of large whole numbers in floating point may be off by one; the remainder is exact.
+        df = df.withColumn("__kw_rest", F.pmod(F.col("__kw_target") * F.col("__kw_size"), F.col("__kw_whole")))
         df = df.withColumn("__kw_sure", F.expr("(__kw_target * __kw_size - __kw_rest) div __kw_whole"))
         q = F.when(F.col("__kw_rest") > 0, _odds(F.col("__kw_rest"), F.col("__kw_whole"), F.col("__kw_odd")))
         return df.withColumn("__kw_q", q)
 
-    ranked = shares(narrow, targets).select(F.col("__kw_s").alias("s"), F.col("__kw_whole").alias("whole"), "id", "__kw_rest", F.col("__kw_q").alias("q"))
+    ranked = shares(narrow, targets).select(F.col("__kw_s").alias("s"), F.col("__kw_whole").alias("whole"), "id", F.col("__kw_size").alias("size"), "__kw_rest", F.col("__kw_q").alias("q"))
     ranked = ranked.withColumn("cell", F.least(F.floor(CELLS * (F.col("q") / (1 + F.col("q")))), F.lit(CELLS - 1)))
     # Places left = the remainders' sum over whole. Cells of the order narrow the search to one cell of each source.
     cells = ranked.groupBy("s", "whole", "cell").agg(F.sum("__kw_rest").alias("rest"), F.count("q").alias("n"))
@@ -79,11 +77,27 @@ def _copies(docs: DataFrame, weights: Mapping[str, float] | None, total: int | N
     before = F.coalesce(F.sum("n").over(by_source.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = table(cells.where("cell is not null").withColumn("before", before).where("before < places and before + n >= places").select(F.col("s").alias("cs"), F.col("cell").alias("cc"), (F.col("places") - F.col("before")).alias("take")))
     last = ranked.join(F.broadcast(cells) if few else cells, (F.col("s") == F.col("cs")) & (F.col("cell") == F.col("cc")))
-    last = last.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("q", "id"))).where("rn = take").select(F.col("s").alias("__kw_ls"), F.col("q").alias("__kw_last_q"), F.col("id").alias("__kw_last_id"))
+    # Rows that tie in all of this are one row with their number, so a doc_id that repeats doesn't make a long window.
+    last = last.groupBy("s", "q", "id", "size", "take").agg(F.count("*").alias("m"))
+    last = last.withColumn("upto", F.sum("m").over(by_source.orderBy("q", "id", "size").rowsBetween(Window.unboundedPreceding, 0))).where("upto >= take and upto - m < take")
+    last = last.select(F.col("s").alias("__kw_ls"), F.col("q").alias("__kw_last_q"), F.col("id").alias("__kw_last_id"), F.col("size").alias("__kw_last_size"), F.col("m").alias("__kw_m"), (F.col("take") - F.col("upto") + F.col("m")).alias("__kw_r"))
     limits = table(targets.join(last, F.col("__kw_s") == F.col("__kw_ls"), "left").drop("__kw_ls"))
     done = shares(units, limits)
-    first = (F.col("__kw_q") < F.col("__kw_last_q")) | ((F.col("__kw_q") == F.col("__kw_last_q")) & (F.col("doc_id").cast("bigint") <= F.col("__kw_last_id")))
-    return done.withColumn("__kw_copies", F.col("__kw_sure") + F.coalesce(first, F.lit(False)).cast("bigint")).where("__kw_copies > 0")
+    here, there = (F.struct(q.alias("q"), i.alias("id"), z.alias("size")) for q, i, z in (
+        (F.col("__kw_q"), F.col("doc_id").cast("bigint"), F.col("__kw_size")), (F.col("__kw_last_q"), F.col("__kw_last_id"), F.col("__kw_last_size"))))
+    placed = F.col("__kw_q").isNotNull() & F.col("__kw_last_q").isNotNull()
+    tie = placed & (here == there) & (F.col("__kw_r") < F.col("__kw_m"))
+    whole = done.where(~tie).withColumn("__kw_copies", F.col("__kw_sure") + (placed & (here <= there)).cast("bigint"))
+    if limits.where("__kw_r < __kw_m").isEmpty():
+        return whole.where("__kw_copies > 0")
+    # Of rows that tie at the last place, as many as there are places left: by their order in a written table.
+    tied = table(done.where(tie)).withColumns({"__kw_file": F.input_file_name(), "__kw_at": F.monotonically_increasing_id()})
+    tied = tied.withColumn("__kw_rn", F.row_number().over(Window.partitionBy("__kw_s", "__kw_file").orderBy("__kw_at")))
+    files = tied.groupBy(F.col("__kw_s").alias("fs"), F.col("__kw_file").alias("ff")).agg(F.count("*").alias("fn"))
+    files = files.withColumn("__kw_start", F.coalesce(F.sum("fn").over(Window.partitionBy("fs").orderBy("ff").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("fn")
+    tied = tied.join(files, (F.col("__kw_s") == F.col("fs")) & (F.col("__kw_file") == F.col("ff")))
+    tied = tied.withColumn("__kw_copies", F.col("__kw_sure") + (F.col("__kw_rn") + F.col("__kw_start") <= F.col("__kw_r")).cast("bigint"))
+    return whole.unionByName(tied.select(whole.columns)).where("__kw_copies > 0")
 
 
 def sample(docs: DataFrame, weights: Mapping[str, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
@@ -93,7 +107,8 @@ def sample(docs: DataFrame, weights: Mapping[str, float] | None = None, total: i
     the number of documents in the result, copies included; by default as many as there are with text. A document's size
     is the number of binary digits of its length, so long texts are likelier, moderately. Null and empty texts have size 0
     and are never chosen; rows without doc_id neither. A null source is the source of empty name. Rows that repeat a
-    doc_id share its random number: they are separate documents, and those that tie at the last place are all taken.
+    doc_id share its random number: they are separate documents. Of those that tie at the last place in size too, as many
+    are taken as there are places, so the size of the result is fixed whatever repeats.
     """
     return _copies(docs.select("doc_id", "text", "source"), weights, total, seed).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__kw_source").alias("source"), F.col("__kw_copies").alias("copies"))
 
@@ -102,7 +117,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, total: in
     """docs as sample() chooses, each row as often as it has copies; columns as they are, and texts are not shuffled."""
     chosen = _copies(docs, weights, total, seed)
     again = chosen.withColumn("__kw_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__kw_copies"))))
-    return again.select(*(docs[c] for c in docs.columns))
+    return again.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = f"""
@@ -113,9 +128,9 @@ sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS whole, CAST(count(*) FIL
 quotas AS (SELECT source, whole, sum(n) OVER () AS total, sum(n) OVER () * pow(n, {TEMPERATURE}) / sum(pow(n, {TEMPERATURE})) OVER () AS quota FROM sources),
 targets AS (SELECT source, whole, CAST(floor(quota) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY quota - floor(quota) DESC, source)
         <= total - sum(floor(quota)) OVER () THEN 1 ELSE 0 END AS target FROM quotas),
-shares AS (SELECT doc_id, source, (target * size) // whole AS sure, (target * size) % whole AS rest, whole, odd FROM units JOIN targets USING (source)),
-ranked AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY CASE WHEN rest > 0 THEN
-        (odd::DOUBLE / (9007199254740992 - odd)::DOUBLE) / (rest::DOUBLE / (whole - rest)::DOUBLE) END NULLS LAST, doc_id) AS rn,
+shares AS (SELECT doc_id, source, size, (target * size) // whole AS sure, (target * size) % whole AS rest, whole, odd FROM units JOIN targets USING (source)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN rest > 0 THEN
+        (odd::DOUBLE / (9007199254740992 - odd)::DOUBLE) / (rest::DOUBLE / (whole - rest)::DOUBLE) END NULLS LAST, doc_id, size) AS rn,
     sum(rest) OVER (PARTITION BY source) // whole AS places FROM shares)
 SELECT doc_id, source, copies FROM (SELECT doc_id, source, CAST(sure + CASE WHEN rest > 0 AND rn <= places THEN 1 ELSE 0 END AS BIGINT) AS copies FROM ranked) WHERE copies > 0
 """
