@@ -58,7 +58,9 @@ class Scanner:
         self.seeds = ahocorasick.Automaton()
         seeds: dict[str, list[tuple[int, int]]] = {}
         for name, text in sorted(notices.items()):
-            low = folded(text)
+            low = folded(text or "")
+            if not low.strip():
+                continue
             k = edits_allowed(low, chars_per_edit)
             fuzzy = regex.compile(f"(?b)(?:{regex.escape(low, literal_spaces=True)}){{e<={k}}}")
             for at, piece in pieces(low, k):
@@ -66,10 +68,13 @@ class Scanner:
             self.notices.append((name, len(low), k, fuzzy))
         for piece, where in seeds.items():
             self.seeds.add_word(piece, (len(piece), where))
-        self.seeds.make_automaton()
+        if seeds:
+            self.seeds.make_automaton()
 
     def scan(self, text: str) -> list[tuple[str, int, int, int]]:
         """(license, start, end, edits) of the notices in text; of overlapping ones the closest stays."""
+        if not self.notices:
+            return []
         low = folded(text)
         starts: dict[int, set[int]] = {}
         for last, (length, where) in self.seeds.iter(low):
@@ -94,7 +99,8 @@ def scan_licenses(docs: DataFrame, notices: Mapping[str, str] | None = None, cha
 
     A notice counts with at most an edit for every chars_per_edit of its characters, whatever its case. Of spans that
     overlap, the one of fewest edits stays, then the longest, then the first by name. Null and empty texts have none;
-    repeated rows are scanned each; rows without doc_id come with a null one. Other columns are not looked at.
+    repeated rows are scanned each; rows without doc_id come with a null one. Other columns are not looked at. A notice that
+    is null or blank is looked for nowhere; without notices nothing is found.
     """
     shared = share(docs.sparkSession, dict(NOTICES if notices is None else notices))
 
