@@ -147,7 +147,7 @@ def ngram_hashes(words: np.ndarray, docs: np.ndarray, n: int, n_docs: int) -> tu
 class Memo:
     """Values by 64-bit hash, kept within a task; emptied when it outgrows limit, so memory stays bounded."""
 
-    def __init__(self, width: int = 1, limit: int = 1_500_000, dtype: type = np.float64):
+    def __init__(self, width: int = 1, limit: int = 500_000, dtype: type = np.float64):
         self.limit, self.width, self.dtype = limit, width, dtype
         self.clear()
 
@@ -177,10 +177,11 @@ _KEPT: dict[str, tuple[str, object]] = {}
 
 
 def kept(name: str, run: str, make: Callable[[], object]) -> object:
-    """make(), once a worker process for each run (a unique text); of each name only the last run's is kept.
+    """make(), once a worker process for each run (a unique text); only the last one is kept.
 
     Workers serve many tasks, so what a memo has learned in one task is not computed again in the next.
     """
     if name not in _KEPT or _KEPT[name][0] != run:
+        _KEPT.clear()
         _KEPT[name] = (run, make())
     return _KEPT[name][1]

@@ -128,14 +128,14 @@ class Counter:
     def __init__(self, ranks: dict[bytes, int], pattern: str, classes: np.ndarray | None):
         self.ranks, self.pairs = ranks, pair_ranks(ranks)
         self.find, self.classes = regex.compile(pattern).findall, classes
-        self.memo = Memo(1, limit=1_000_000, dtype=np.int64)
+        self.memo = Memo(1, dtype=np.int64)
 
     def piece(self, piece: str) -> int:
         return count_piece(piece.encode("utf-8", "surrogatepass"), self.ranks, self.pairs)
 
     def texts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
-        for i, j in batches(texts):
+        for i, j in batches(texts, 300_000):
             if self.classes is None:  # another pattern: the library splits
                 pieces = [self.find(t) for t in texts[i:j]]
                 text = np.repeat(np.arange(j - i), list(map(len, pieces)))
