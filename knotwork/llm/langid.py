@@ -7,6 +7,7 @@ the one of least total cost. Costs are whole thousandths of a nat, so sums don't
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._spark import hash_order, share, table
-from ._text import LETTERS, Codes, Memo, batches, distinct
+from ._text import LETTERS, Codes, Memo, batches, distinct, kept
 
 WORD = r"[a-z\x{80}-\x{10FFFF}]+"
 ORDERS = (5, 4, 3, 2, 1)
 PENALTY = 16_000
 PER_LANG = 500
 MIN_COUNT = 2
+MAX_LANGS = 300
 #: A text that two languages fit within a tenth of a nat a word is undecided; a clean text's margin is some nats.
 MIN_MARGIN = 100
 SCHEMA = "doc_id bigint, predicted string, n_words bigint, cost bigint, margin bigint, accepted boolean"
@@ -91,8 +93,9 @@ class Model:
             best = total.argmin(1)
             least = total.min(1)
             total[np.arange(j - i), best] = np.iinfo(np.int64).max
-            second = total.min(1) if len(self.langs) > 1 else least
             m = np.maximum(n, 1)
+            # With one language nothing competes: every word is as if another lacked it.
+            second = total.min(1) if len(self.langs) > 1 else least + PENALTY * m
             out[i:j] = np.stack([np.where(n > 0, best, -1), n, np.where(n > 0, least // m, 0), np.where(n > 0, (second - least) // m, 0)], 1)
         return out
 
@@ -100,12 +103,15 @@ class Model:
 def train(docs: DataFrame, per_lang: int = PER_LANG, min_count: int = MIN_COUNT, seed: int = 5) -> Model:
     """Fits on at most per_lang (up to 1,000) documents of each value of lang, drawn by hash of doc_id; whole texts.
 
-    Rows without doc_id, text or lang take no part. With none left, the model knows no language and accepts nothing.
+    Rows without doc_id, text or lang take no part. With none left, the model knows no language and accepts nothing. Of
+    more than MAX_LANGS languages ValueError: a lang of free text would make a model without bounds.
     """
     labelled = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), F.col("text").alias("t")).where("id is not null and l is not null and t is not null")
     ranked = labelled.select("id", "l", F.row_number().over(Window.partitionBy("l").orderBy(hash_order("id", seed), "id")).alias("rn"))
     chosen = table(ranked.where(F.col("rn") <= per_lang).select(F.col("id").alias("cid"), F.col("l").alias("cl")).distinct())
-    # The sample is bounded by per_lang and the number of languages, so broadcasting it is safe at any size of docs.
+    if chosen.select("cl").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} values")
+    # At most per_lang x MAX_LANGS identifiers, at any size of docs.
     sample = labelled.join(F.broadcast(chosen), (F.col("id") == F.col("cid")) & (F.col("l") == F.col("cl")))
     words = table(sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n")))
     parts = [words.select(F.lit(0).alias("o"), "l", F.col("w").alias("g"), "n")]
@@ -136,13 +142,14 @@ def identify(docs: DataFrame, model: Model, min_margin: int = MIN_MARGIN) -> Dat
     """One row for each row of docs: predicted language, words scored, mean cost, margin, and whether it is accepted.
 
     A text is rejected (predicted null) if it is null or empty or none of its characters is known to any language, or if
-    its margin is below min_margin thousandths of a nat a word. Ties go to the first language by name. Repeated rows and null ids are scored like
-    any other; other columns are not looked at.
+    its margin is below min_margin thousandths of a nat a word. Ties go to the first language by name. Where the model knows
+    one language only, the margin is PENALTY, and whatever has a known word or character is accepted. Repeated rows and null
+    ids are scored like any other; other columns are not looked at.
     """
-    shared = share(docs.sparkSession, model)
+    shared, name = share(docs.sparkSession, model), uuid.uuid4().hex
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memo = shared.value, Memo(len(shared.value.langs), dtype=np.int64)
+        m, memo = shared.value, kept("langid", name, lambda: Memo(len(shared.value.langs), dtype=np.int64))
         for b in batches_in:
             r = m.texts([t or "" for t in b.column(1).to_pylist()], memo)
             ok = (r[:, 0] >= 0) & (r[:, 3] >= min_margin)
@@ -154,11 +161,11 @@ def identify(docs: DataFrame, model: Model, min_margin: int = MIN_MARGIN) -> Dat
 
 def accepted_only(docs: DataFrame, model: Model, min_margin: int = MIN_MARGIN) -> DataFrame:
     """docs without the rows that identify rejects; columns as they are, in one pass without a shuffle."""
-    shared = share(docs.sparkSession, model)
+    shared, name = share(docs.sparkSession, model), uuid.uuid4().hex
 
     @F.pandas_udf("boolean")
     def accept(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo = Memo(len(shared.value.langs), dtype=np.int64)
+        memo = kept("langid", name, lambda: Memo(len(shared.value.langs), dtype=np.int64))
         for s in texts:
             r = shared.value.texts([t or "" for t in s], memo)
             yield pd.Series((r[:, 0] >= 0) & (r[:, 3] >= min_margin))
@@ -188,7 +195,7 @@ top AS (SELECT w, max(o) AS o FROM hits GROUP BY w),
 back AS (SELECT h.w, f.lang, CAST(sum(f.s) AS BIGINT) // count(*) AS s FROM hits h JOIN top USING (w, o) JOIN full_model f ON f.o = h.o AND f.g = h.g GROUP BY h.w, f.lang),
 costs AS (SELECT g AS w, lang, s FROM full_model WHERE o = 0 UNION ALL SELECT w, lang, s FROM back),
 totals AS (SELECT doc_id, lang, sum(c * s) AS s, sum(c) AS n FROM tokens JOIN costs USING (w) GROUP BY doc_id, lang),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, lang) AS rn, lead(s) OVER (PARTITION BY doc_id ORDER BY s, lang) AS s2 FROM totals)
+ranked AS (SELECT doc_id, lang, s, n, row_number() OVER w AS rn, CASE WHEN (SELECT count(*) FROM langs) > 1 THEN lead(s) OVER w ELSE s + {PENALTY} * n END AS s2 FROM totals WINDOW w AS (PARTITION BY doc_id ORDER BY s, lang))
 SELECT d.doc_id, CASE WHEN r.s2 - r.s >= {MIN_MARGIN} * r.n THEN r.lang END AS predicted, CAST(coalesce(r.n, 0) AS BIGINT) AS n_words, CAST(coalesce(r.s // r.n, 0) AS BIGINT) AS cost,
     CAST(coalesce((r.s2 - r.s) // r.n, 0) AS BIGINT) AS margin, coalesce(r.s2 - r.s >= {MIN_MARGIN} * r.n, false) AS accepted
 FROM documents d LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (doc_id)

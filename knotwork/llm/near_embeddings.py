@@ -33,15 +33,22 @@ SIGNED = "vec_id bigint, fp1 bigint, fp2 bigint, vector array<float>, own array<
 PAIRS = "ga bigint, gb bigint, score double"
 
 
+def _matrix(size: int) -> np.ndarray:
+    m = np.ones((1, 1), np.float32)
+    while len(m) < size:
+        m = np.block([[m, m], [m, -m]])
+    return m
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths."""
+    """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths; up to eight places a step."""
     n, d = x.shape
-    h = 1
-    x = x.copy()
-    while h < d:
-        y = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(n, d)
-        h *= 2
+    left = d
+    while left > 1:
+        r = min(8, left)
+        # The first r-th part of the places goes last when it is done, so after all steps they are where they were.
+        x = np.ascontiguousarray((x.reshape(n, r, d // r).transpose(0, 2, 1).reshape(-1, r) @ _matrix(r)).reshape(n, d))
+        left //= r
     return x / np.float32(np.sqrt(d))
 
 
@@ -65,7 +72,9 @@ def keys(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int) -> tup
         for h in range(hashes):
             y = rotate(x, seed + t * hashes + h)
             size = np.abs(y)
-            top = np.argsort(-size, axis=1, kind="stable")[:, : probes + 1]
+            k = min(probes + 1, size.shape[1])
+            top = np.argpartition(size, size.shape[1] - k, axis=1)[:, size.shape[1] - k :]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(size, top, 1), axis=1, kind="stable"), 1)
             names.append(2 * top + (np.take_along_axis(y, top, 1) < 0))
             best = np.take_along_axis(size, top, 1)
             losses.append(best[:, :1] - best)

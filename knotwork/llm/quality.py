@@ -134,6 +134,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 9) -> Model:
+    """Fits on at most per_class (up to 1,000) labelled documents of either kind, drawn by hash of doc_id; whole texts.
+
+    What takes no part is as in sample(); where that leaves one kind only, or none, the model is as in fit().
+    """
     rows = sample(docs, labels, "quality", per_class, seed).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     return fit(rows["text"].to_pylist(), rows["y"].to_numpy().astype(np.int64), seed)
 

@@ -19,7 +19,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -302,13 +302,13 @@ def fit(texts: list[str], labels: np.ndarray, turns: int = 3, seed: int = 2) ->
         return none
     clean = {p for p, n in in_clean.items() if in_toxic[p] < 5 or in_toxic[p] * b < 8 * n * a}
 
-    def runs(s: str) -> set[str]:
+    @lru_cache(maxsize=20_000)
+    def runs(s: str) -> frozenset[str]:
         s = f"^{s}$"
-        return {s[k : k + n] for n in (4, 5) for k in range(len(s) - n + 1)}
+        return frozenset(s[k : k + n] for n in (4, 5) for k in range(len(s) - n + 1))
 
-    runs_of = {p: runs(p) for p in in_clean.keys() | in_toxic.keys()}
     sentences = {True: [s for d in toxic_docs for s in d if s], False: [s for d in clean_docs for s in d if s]}
-    times = {kind: Counter(g for s in of for g in set().union(*(runs_of[p] for p in s))) for kind, of in sentences.items()}
+    times = {kind: Counter(g for s in of for g in set().union(*map(runs, s))) for kind, of in sentences.items()}
     share = {kind: max(1, len(of)) for kind, of in sentences.items()}
     # By how much a run's frequency among toxic sentences exceeds what clean ones make likely, and how sure that is.
     odds = {g: np.log((n + 0.1) / share[True]) - np.log((times[False][g] + 0.5) / share[False]) for g, n in times[True].items() if n >= 3}
@@ -316,7 +316,7 @@ def fit(texts: list[str], labels: np.ndarray, turns: int = 3, seed: int = 2) ->
 
     @cache
     def evidence(part: str) -> float:
-        return max((strength.get(g, 0.0) for g in runs_of[part]), default=0.0)
+        return max((strength.get(g, 0.0) for g in runs(part)), default=0.0)
 
     def most(parts: Iterable[str], score: Callable[[str], float]) -> tuple[float, str] | None:
         return max(((score(p), p) for p in parts if p not in clean), default=None)
@@ -398,7 +398,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared, name = share(docs.sparkSession, model), uuid.uuid4().hex
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = kept("toxicity", name, lambda: Memo(1, limit=1_000_000, dtype=np.float32))
+        memo = kept("toxicity", name, lambda: Memo(1, dtype=np.float32))
         for b in stream:
             best, hits = shared.value.texts([t or "" for t in b.column(1).to_pylist()], memo)
             value = pa.array(best, mask=np.isneginf(best))
