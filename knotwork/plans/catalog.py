@@ -419,7 +419,7 @@ on_web(
     "SELECT name, '# ' || min(label) || chr(10) || chr(10) || string_agg(DISTINCT about, chr(10) ORDER BY about) || chr(10) || chr(10) || coalesce(string_agg(DISTINCT line, chr(10) ORDER BY line), '') || chr(10) AS text FROM (SELECT id, p.name, p.label, 'Type: ' || type || '; file: ' || source_file AS about, '- ' || relation || ' [[' || coalesce(t.name, target) || ']]' AS line FROM pages_ p LEFT JOIN (SELECT source, target, relation FROM edges) e ON e.source = p.id LEFT JOIN (SELECT id AS target, name FROM pages_) t USING (target)) GROUP BY name",
     r"plain AS (SELECT *, regexp_replace(regexp_replace(label, '[/\\:*?\"<>|]', '_', 'g'), '^\.', '_') AS plain FROM nodes)",
     "pages_ AS MATERIALIZED (SELECT id, label, type, source_file, CASE WHEN count(*) OVER (PARTITION BY lower(plain)) > 1 OR octet_length(encode(plain)) > 200 THEN substring(plain, 1, 25) || '-' || substring(sha256(label), 1, 16) ELSE plain END AS name FROM plain)",
-)(export.vault_pages)
+)(lambda g: export.vault_pages(g, by_node=True))
 
 
 # Streams.

@@ -128,25 +128,26 @@ def report(graph: Graph, members: DataFrame | None = None, now: datetime | None
     return "\n".join([*out, ""])
 
 
-def page_names(nodes: DataFrame) -> DataFrame:
+def page_names(nodes: DataFrame, by_node: bool = False) -> DataFrame:
     """(id, name, type, source_file): the page of each node, named by its label.
 
     Characters that file names can't have become _. A name that this makes equal to another label's, that is one of the vault's own
-    pages or is longer than a file name may be ends in a hash of the label, so that no two labels share a page.
+    pages or is longer than a file name may be ends in a hash of the label, so that no two labels share a page. With by_node, so does
+    the name of a label that several nodes have.
     """
     label = F.coalesce("label", F.col("id"))
     plain = F.regexp_replace(F.regexp_replace(label, r'[/\\:*?"<>|\x00-\x1f]', "_"), r"^\.", "_")
-    labels = nodes.select(label.alias("full"), plain.alias("plain")).distinct()
-    shared = labels.groupBy(F.lower("plain").alias("low")).agg(F.count("*").alias("m"))
+    labels = nodes.groupBy(label.alias("full"), plain.alias("plain")).agg(F.count("*").alias("n"))
+    shared = labels.groupBy(F.lower("plain").alias("low")).agg((F.sum("n") if by_node else F.count("*")).alias("m"))
     odd = (F.col("m") > 1) | F.col("plain").isin(*VAULT_PAGES) | (F.octet_length("plain") > NAME_BYTES) | (F.col("plain") == "")
     short = F.substring("plain", 1, NAME_BYTES // 8)  # at most four bytes a character
     named = labels.join(shared, F.lower("plain") == F.col("low")).select("full", F.when(odd, F.concat(short, F.lit("-"), F.substring(F.sha2("full", 256), 1, 16))).otherwise(F.col("plain")).alias("name"))
     return nodes.select("id", label.alias("full"), "type", "source_file").join(named, "full").select("id", "full", "name", "type", "source_file")
 
 
-def vault_pages(graph: Graph) -> DataFrame:
-    """(name, text): a page for each label with its kinds and links; nodes of equal label share one."""
-    nodes = page_names(graph.nodes)
+def vault_pages(graph: Graph, by_node: bool = False) -> DataFrame:
+    """(name, text): a page for each label with its kinds and links; nodes of equal label share one. by_node is that of page_names."""
+    nodes = page_names(graph.nodes, by_node)
     target = nodes.select(F.col("id").alias("target"), F.col("name").alias("to"))
     links = graph.edges.select("source", "target", "relation").join(target, "target", "left")
     lines = links.select(F.col("source").alias("id"), F.concat(F.lit("- "), "relation", F.lit(" [["), F.coalesce("to", "target"), F.lit("]]")).alias("line")).distinct()
