@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .model import Graph, as_edges, as_nodes
+from .storage import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,16 +52,19 @@ def star(spark: SparkSession, sf_dir: str) -> Graph:
         return df.select(_id(*a).alias("source"), _id(*b).alias("target"), F.lit(relation).alias("relation"), confidence.alias("confidence"), order.alias("ord"))
 
     sure = F.lit("EXTRACTED")
-    flag = F.col("flag")
-    needs = lines.groupBy("l_orderkey", "l_partkey").agg(F.min("l_returnflag").alias("flag"))
-    level = F.when(flag == "N", "EXTRACTED").when(flag == "A", "INFERRED").otherwise("AMBIGUOUS")
+    # The least flag, as its place among A and N: a whole number is grouped by hash, a text by sorting all lines.
+    given, flag = F.col("l_returnflag"), F.col("flag")
+    place = F.when(given < "A", 0).when(given == "A", 1).when(given < "N", 2).when(given == "N", 3).when(given > "N", 4)
+    needs = spread(lines.select("l_orderkey", "l_partkey", place.alias("place")), "l_orderkey", like=lines).groupBy("l_orderkey", "l_partkey").agg(F.min("place").alias("flag"))
+    level = F.when(flag == 3, "EXTRACTED").when(flag == 1, "INFERRED").otherwise("AMBIGUOUS")
+    pairs = spread(lines.select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey", like=lines).distinct()
     edges = [
         edge(nation, 0, ("r_", "n_regionkey"), ("n_", "n_nationkey"), "contains", sure),
         edge(supplier, 1, ("n_", "s_nationkey"), ("s_", "s_suppkey"), "contains", sure),
         edge(customer, 2, ("n_", "c_nationkey"), ("c_", "c_custkey"), "contains", sure),
         edge(orders, 3, ("c_", "o_custkey"), ("o_", "o_orderkey"), "calls", sure),
         edge(needs, 4, ("o_", "l_orderkey"), ("p_", "l_partkey"), "depends_on", level),
-        edge(lines.select("l_partkey", "l_suppkey").distinct(), 5, ("p_", "l_partkey"), ("s_", "l_suppkey"), "references", F.lit("INFERRED")),
+        edge(pairs, 5, ("p_", "l_partkey"), ("s_", "l_suppkey"), "references", F.lit("INFERRED")),
     ]
     return Graph(as_nodes(reduce(DataFrame.unionByName, nodes)), as_edges(reduce(DataFrame.unionByName, edges)))
 

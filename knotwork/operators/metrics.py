@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import CONFIDENCE, Graph, is_semantic, is_structural
-from ..storage import table
+from ..storage import spread, table
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -17,20 +17,21 @@ def endpoints(edges: DataFrame) -> DataFrame:
 
 def degree(edges: DataFrame) -> DataFrame:
     """(id, degree) of whatever edges touch, nodes or not."""
-    return endpoints(edges).groupBy("id").agg(F.count("*").alias("degree"))
+    return spread(endpoints(edges), "id", like=edges).groupBy("id").agg(F.count("*").alias("degree"))
 
 
 def valid_edges(graph: Graph) -> DataFrame:
     """Edges both of whose ends are nodes."""
-    ids = graph.nodes.select("id")
-    e = graph.edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-    return e.join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    # Joined, not left_semi: the optimizer would move that below the spreading, into each part of a union.
+    ids, columns = spread(graph.nodes.select("id"), "id", like=graph.edges).distinct(), graph.edges.columns
+    e = spread(graph.edges, "source", like=graph.edges).join(ids.withColumnRenamed("id", "source"), "source").select(columns)
+    return spread(e, "target", like=graph.edges).join(ids.withColumnRenamed("id", "target"), "target").select(columns)
 
 
 def degree_in_out(graph: Graph) -> DataFrame:
     """(id, in_degree, out_degree, total_degree) of every node, over all edges. One pass over edges, one shuffle."""
     ends = graph.edges.select(F.explode(F.array(F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e")).select("e.*")
-    counts = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    counts = spread(ends, "id", like=graph.edges).groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     joined = graph.nodes.join(counts, "id", "left")
     i, o = F.coalesce("i", F.lit(0)).cast("bigint"), F.coalesce("o", F.lit(0)).cast("bigint")
     return joined.select("id", i.alias("in_degree"), o.alias("out_degree"), (i + o).alias("total_degree"))

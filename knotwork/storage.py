@@ -42,6 +42,23 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What spread() gives one task, by Spark's estimate, which is of bytes in files and of all columns: some quarter of a million edges.
+#: A greater estimate than the other is none.
+TASK_BYTES, KNOWN_BYTES = 8 << 20, 1 << 44
+
+
+def spread(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
+    """df by keys in as many tasks as its size, or that of like, asks for, before it is grouped or joined by them.
+
+    What a task groups or sorts doesn't grow with the input, whatever spark.sql.shuffle.partitions is, and scans, whose splits
+    do grow, group nothing.
+    """
+    size = int(str((df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > KNOWN_BYTES:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), *keys)
+
+
 def bucketed(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """df as a table in buckets by a column, so that joins and groupings by it don't shuffle it again."""
     spark = df.sparkSession

@@ -2,7 +2,10 @@
 
 import duckdb
 
+from knotwork import graphs
+from knotwork.operators import metrics
 from knotwork.plans import catalog
+from knotwork.storage import TASK_BYTES, spread
 
 
 def test_vault_pages_of_urls_that_repeat(spark, tmp_path):
@@ -13,3 +16,33 @@ def test_vault_pages_of_urls_that_repeat(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/*.parquet')")
     made = {tuple(r) for r in catalog.QUERIES["vault_pages"](spark, str(tmp_path)).select("name", "text").collect()}
     assert made == set(con.execute(catalog.ORACLES["vault_pages"]).fetchall()) and len(made) == 2
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path):
+    path = str(tmp_path / "wide.parquet")
+    spark.range(3_000_000).selectExpr("id", "md5(cast(id as string)) as text").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "wide.parquet").glob("*.parquet"))
+    assert size > 8 * TASK_BYTES
+    assert spread(df, "id").rdd.getNumPartitions() == -(-size // TASK_BYTES)
+    assert spread(df.join(df.withColumnRenamed("text", "t"), "id"), "id", like=df).rdd.getNumPartitions() == -(-size // TASK_BYTES)
+
+
+def test_lines_are_grouped_by_hash_after_spreading(spark, sf):
+    g = graphs.star(spark, sf)
+    for df in (metrics.degree(g.edges), metrics.degree_in_out(g), metrics.valid_edges(g)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_stream_batches_arrive_in_several_files(spark, sf, monkeypatch):
+    from knotwork.streaming import changes
+
+    seen = []
+    keep = changes.keep_up
+    monkeypatch.setattr(changes, "keep_up", lambda stream, *rest: (seen.append(1), keep(stream, *rest))[1])
+    first, _ = catalog._two_batches(spark.newSession(), sf)
+    made = []
+    monkeypatch.setattr(type(first), "coalesce", lambda self, n: made.append(n) or self)
+    catalog.QUERIES["stream_upsert"](spark, sf)
+    assert len(seen) == 2 and not made
