@@ -447,7 +447,7 @@ def _stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The same through a stream of JSON files: each batch arrives, and a query runs over what is there."""
     inbox, store, checkpoint = new_path(spark, "inbox-"), changes.Store(spark, new_path(spark, "store-")), new_path(spark, "check-")
     for batch in _two_batches(spark, d):
-        batch.coalesce(1).write.mode("append").json(inbox)
+        batch.write.mode("append").json(inbox)
         changes.keep_up(changes.read(spark, inbox), store, checkpoint, None).awaitTermination()
     return _upserted(store.graph())
 
