@@ -176,11 +176,50 @@ def _ranks(source: np.ndarray, target: np.ndarray, w: np.ndarray, ids: list[str]
     return [*ids, None], np.append(rank, lone)
 
 
+def _flows(share: DataFrame, n: int, damping: float, iterations: int) -> tuple[list[DataFrame] | None, list[float]]:
+    """What an even start sends along ways of 1, 2, ... edges, as (id, flow) of the nodes that it reaches, and the sums from 0 on.
+
+    Whoever a way of some length reaches is reached by a shorter one, so fewer and fewer nodes are left, until none is, or until
+    a cycle keeps the same nodes for good: then there are no flows, and rounds have to tell.
+    """
+    flows, masses, left = [], [1.0], n
+    for _ in range(iterations):
+        last = share.select("target", (F.col("share") / n).alias("x")) if not flows else share.join(flows[-1].withColumnRenamed("id", "source"), "source").select("target", (F.col("share") * F.col("flow")).alias("x"))
+        flow = table(last.groupBy(F.col("target").alias("id")).agg((damping * F.sum("x")).alias("flow")))
+        size, mass = flow.agg(F.count("*"), F.sum("flow")).first()
+        if not size:
+            break
+        if size == left:
+            return None, []
+        flows.append(flow)
+        masses.append(mass)
+        left = size
+    return flows, masses
+
+
+def _series(ids: DataFrame, flows: list[DataFrame], masses: list[float], n: int, damping: float, iterations: int) -> DataFrame:
+    """The ranks after all rounds from the flows: a round adds the same base to all nodes, which flows on as the start does, so
+    ranks are flows times the bases of the rounds before. What ends hold of a flow is what the next one lacks."""
+    ahead = [*masses[1:], 0.0]
+    held = [m - a / damping for m, a in zip(masses, ahead, strict=True)]
+    bases: list[float] = []
+    at = lambda k, x: (bases[k - 1 - x] if x < k else 1.0) if x <= k else 0.0
+    for k in range(iterations):
+        bases.append(1 - damping + damping * sum(at(k, x) * h for x, h in enumerate(held)))
+    parts = [f.select("id", (F.col("flow") * at(iterations, x)).alias("flow")) for x, f in enumerate(flows, 1)]
+    base = F.lit(at(iterations, 0) / n)
+    if not parts:
+        return ids.select("id", base.alias("rank"))
+    total = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("flow").alias("flow"))
+    return ids.join(total, "id", "left").select("id", (base + F.coalesce("flow", F.lit(0.0))).alias("rank"))
+
+
 def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-13, local: int = LOCAL_EDGES) -> DataFrame:
     """(id, rank), which sum to 1: even teleport, and what nodes without edges hold is spread evenly. Parallel edges count.
 
     Rounds end after iterations, or when all ranks together move by less than tolerance, so that later ones would change
     no digit that matters. Each round writes its ranks; the edges lie in buckets by source and are not shuffled again.
+    Without cycles there are only as many rounds as the longest way has edges, and the ranks follow from those.
     """
     ids = table(graph.nodes.select("id").distinct())
     n = max(ids.count(), 1)
@@ -193,6 +232,9 @@ def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 100, toleran
         return ids.join(found, "id", "left").crossJoin(F.broadcast(lone)).select("id", F.coalesce("rank", "lone").alias("rank"))  # one row
     degree = links.groupBy("source").agg(F.sum("w").alias("d"))
     share = bucketed(links.join(degree, "source").select("source", "target", (F.col("w") / F.col("d")).alias("share")), "source")
+    flows, masses = _flows(share, n, damping, iterations) if damping else (None, [])
+    if flows is not None:
+        return _series(ids, flows, masses, n, damping, iterations)
     ranks = table(ids.join(degree.select(F.col("source").alias("id"), F.lit(True).alias("goes")), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("goes").isNull().alias("ends")))
     lost = ranks.agg(F.sum(F.when(F.col("ends"), F.col("rank")))).first()[0] or 0.0
     for _ in range(iterations):

@@ -1,9 +1,11 @@
 """What larger tables showed: names that repeat, rounds, and what one task holds."""
 
 import duckdb
+import pytest
+from test_graph import brute_ranks, graph
 
 from knotwork import graphs
-from knotwork.operators import metrics
+from knotwork.operators import community, metrics
 from knotwork.plans import catalog
 from knotwork.storage import TASK_BYTES, spread
 
@@ -46,3 +48,15 @@ def test_stream_batches_arrive_in_several_files(spark, sf, monkeypatch):
     monkeypatch.setattr(type(first), "coalesce", lambda self, n: made.append(n) or self)
     catalog.QUERIES["stream_upsert"](spark, sf)
     assert len(seen) == 2 and not made
+
+
+def test_ranks_without_cycles_take_few_rounds(spark, monkeypatch):
+    nodes, edges = list("abcdefgh"), ["ab", "ac", "bc", "cd", "ad", "ad", "de", "fe"]
+    rounds = []
+    written = community.table
+    monkeypatch.setattr(community, "table", lambda df: rounds.append(1) or written(df))
+    for n in (100, 3):
+        rounds.clear()
+        ranks = {r.id: r["rank"] for r in community.pagerank(graph(spark, nodes, edges), iterations=n, local=0).collect()}
+        assert ranks == pytest.approx(brute_ranks(nodes, edges, n), abs=1e-11)
+        assert len(rounds) < 10
