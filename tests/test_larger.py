@@ -1,5 +1,7 @@
 """What larger tables showed: names that repeat, rounds, and what one task holds."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from test_graph import brute_ranks, graph
@@ -60,3 +62,21 @@ def test_ranks_without_cycles_take_few_rounds(spark, monkeypatch):
         ranks = {r.id: r["rank"] for r in community.pagerank(graph(spark, nodes, edges), iterations=n, local=0).collect()}
         assert ranks == pytest.approx(brute_ranks(nodes, edges, n), abs=1e-11)
         assert len(rounds) < 10
+
+
+def test_rounds_of_moves_leave_no_tables(spark, monkeypatch):
+    edges = [f"{a}{b}" for part in ("abcd", "efgh", "ijkl") for a in part for b in part if a < b] + ["de", "hi"]
+    g = graph(spark, list("abcdefghijkl"), edges)
+    labels = sorted(map(tuple, community.local_moves(g, 4).collect()))
+    monkeypatch.setattr(community, "BUCKET_ROWS", 5)
+    paths = []
+    written = community.table
+
+    def keep(df):
+        made = written(df)
+        paths.append(made._knotwork_path)
+        return made
+
+    monkeypatch.setattr(community, "table", keep)
+    assert sorted(map(tuple, community.local_moves(g, 4).collect())) == labels
+    assert len(paths) == 11 and len([p for p in paths if Path(p.removeprefix("file:")).exists()]) == 3
