@@ -420,11 +420,15 @@ def communities(graph: Graph, rounds: int = 100, local: int = LOCAL_EDGES) -> Da
 
 def modularity(graph: Graph, members: DataFrame) -> DataFrame:
     """(community_id, modularity) = e - a², with e the share of weight inside twice over, and a that of the ends in it."""
-    e = valid_edges(graph).select("source", "target", "weight")
-    m = e.agg(F.sum("weight").alias("m"))
-    a = members.select(F.col("node_id").alias("source"), F.col("community_id").alias("sc"))
-    b = members.select(F.col("node_id").alias("target"), F.col("community_id").alias("tc"))
-    both = e.join(a, "source").join(b, "target")
+    # One pass: of every node the communities that it is in, looked up for either end, tell valid edges as well.
+    near = lambda df, c: spread(df, c, like=graph.edges)
+    of = near(members, "node_id").groupBy(F.col("node_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("community_id"))).alias("of"))
+    ids = near(graph.nodes.select("id"), "id").distinct().join(of, "id", "left")
+    e = near(graph.edges.select("source", "target", "weight"), "source").join(ids.select(F.col("id").alias("source"), F.col("of").alias("s")), "source").select("target", "s", "weight")
+    e = near(e, "target").join(ids.select(F.col("id").alias("target"), F.col("of").alias("t")), "target")
+    pairs = table(e.groupBy("s", "t").agg(F.sum("weight").alias("weight")))
+    m = pairs.agg(F.sum("weight").alias("m"))
+    both = pairs.select("weight", "t", F.explode("s").alias("sc")).select("weight", F.col("sc.community_id").alias("sc"), F.explode("t").alias("tc")).select("weight", "sc", F.col("tc.community_id").alias("tc"))
     inside = F.when(F.col("sc") == F.col("tc"), F.col("weight")).otherwise(0.0)
     ends = both.select(F.explode(F.array(F.struct(F.col("sc").alias("c"), F.col("weight").alias("w"), inside.alias("i")), F.struct(F.col("tc").alias("c"), F.col("weight").alias("w"), inside.alias("i")))).alias("x")).select("x.*")
     sums = ends.groupBy("c").agg(F.sum("w").alias("w"), F.sum("i").alias("i"))

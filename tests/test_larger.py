@@ -80,3 +80,13 @@ def test_rounds_of_moves_leave_no_tables(spark, monkeypatch):
     monkeypatch.setattr(community, "table", keep)
     assert sorted(map(tuple, community.local_moves(g, 4).collect())) == labels
     assert len(paths) == 11 and len([p for p in paths if Path(p.removeprefix("file:")).exists()]) == 3
+
+
+def test_modularity_reads_edges_once(spark, sf):
+    g = graph(spark, list("abcd"), ["ab", "bc", "cd", "ax"])
+    members = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("x", 2), ("d", None)], "node_id string, community_id bigint")
+    got = {r.community_id: r.modularity for r in community.modularity(g, members).collect()}
+    assert got == {1: round(2 / 6 - (3 / 6) ** 2, 6), 2: round(-((2 / 6) ** 2), 6), None: 0.0}
+    df = catalog.QUERIES["community_modularity"](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan  # what is left to do is read off the table of pairs
