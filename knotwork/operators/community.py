@@ -23,31 +23,77 @@ from .metrics import degree_in_out, graph_stats, valid_edges
 LOCAL_EDGES = 2_000_000
 
 
-def _print(edges: DataFrame) -> tuple:
-    """A fingerprint of a set of pairs, read off its table without a shuffle."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("decimal(38, 0)"))).first())
+#: A key of more rows than this is looked up in a broadcast table, so that no task gets all of them.
+HOT_ROWS = 100_000
+
+
+def _looked_up(df: DataFrame, key: str, of: DataFrame) -> DataFrame:
+    """df, a table, with what of, a table, has for its key, or nulls; keys of many rows don't meet in one task."""
+    hot = df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS).select(key)
+    hot = table(of.join(F.broadcast(hot), key).withColumn("__hot", F.lit(True)))  # no more than df's rows / HOT_ROWS
+    marked = df.join(F.broadcast(hot), key, "left")
+    return marked.where("__hot").drop("__hot").unionByName(marked.where("__hot is null").select(df.columns).join(of, key, "left"))
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(n, p) where the way from n by its parent (n, p), that one's parent and so on ends, by steps that double; not for
+    nodes whose ways end nowhere."""
+    parts = [table(parents.withColumn("done", F.lit(False)))]
+    left = parts[0].count()
+    while left:
+        at = reduce(DataFrame.unionByName, [*(x.where("done") for x in parts[:-1]), parts[-1]])
+        further = at.select(F.col("n").alias("p"), F.col("p").alias("q"), F.col("done").alias("d"))
+        rest = _looked_up(parts[-1].where("not done"), "p", further)
+        parts.append(table(rest.select("n", F.coalesce("q", "p").alias("p"), F.coalesce("d", F.lit(True)).alias("done"))))
+        before, left = left, parts[-1].where("not done").count()
+        if left == before:  # who is left leads to a cycle
+            break
+    return reduce(DataFrame.unionByName, [x.where("done").select("n", "p") for x in parts])
+
+
+def _weak(source: np.ndarray, target: np.ndarray, _: np.ndarray, ids: list[str]) -> tuple[list, list]:
+    """Each id with the least id of its weak component."""
+    label = np.arange(len(ids))
+    while True:
+        a, b = label[source], label[target]
+        if (a == b).all():
+            return ids, [ids[k] for k in label]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))  # labels are roots here, and each takes a lesser one
+        while (label != label[label]).any():
+            label = label[label]
 
 
-def weak_components(graph: Graph) -> DataFrame:
+def weak_components(graph: Graph, local: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) of every node; a component is named by its least id.
 
-    Large-star and small-star rounds until nothing changes. Their number grows with the logarithm of the longest chain.
+    Nodes get numbers, and edges are pairs of those from then on. In each round a node is one with its parent, and with
+    that one's parent, and so on; edges then join what is left, until at most local of them are left for one task. The first
+    parent is a node that leads here, which takes no shuffle of its own and leaves only sources if there are no
+    cycles. Later it is the least neighbour that is less than the node, so that at least half of the nodes go in a round.
     """
-    pairs = valid_edges(graph).where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v"))
-    edges = table(pairs.distinct())
-    known = _print(edges)
-    while True:
+    numbers = table(spread(graph.nodes.select("id"), "id", like=graph.edges).distinct().select("id", F.monotonically_increasing_id().alias("n")))
+    e = spread(graph.edges.select("source", "target"), "source", like=graph.edges).join(numbers.select(F.col("id").alias("source"), F.col("n").alias("u")), "source").select("u", "target")
+    e = spread(e, "target", like=graph.edges).join(numbers.select(F.col("id").alias("target"), F.col("n").alias("v")), "target").select("u", "v")
+    edges = table(e.where("u <> v"))
+    parents = edges.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("p"))
+    maps: list[DataFrame] = []
+    while (size := edges.count()) > local:
+        maps.append(table(_roots(parents)))
+        at = lambda c: maps[-1].select(F.col("n").alias(c), F.col("p").alias(f"{c}_p"))
+        moved = spread(edges, "u").join(at("u"), "u", "left").select(F.coalesce("u_p", "u").alias("u"), "v")
+        moved = spread(moved, "v", like=edges).join(at("v"), "v", "left").select("u", F.coalesce("v_p", "v").alias("v"))
+        edges = table(moved.where("u <> v").distinct())
         both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e")).select("e.u", F.col("e.m").alias("v"))
-        edges = table(small.where("u <> v").distinct())
-        now = _print(edges)
-        if now == known:
-            root = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-            return graph.nodes.select("id").distinct().join(root, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        known = now
+        parents = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("p")).where("p < n")
+    if size:
+        found = in_one_task(edges.select(F.col("u").cast("string").alias("source"), F.col("v").cast("string").alias("target"), F.lit(1.0).alias("w")), _weak, "id string, name string")
+        maps.append(table(found.select(F.col("id").cast("bigint").alias("n"), F.col("name").cast("bigint").alias("p"))))
+    members = numbers
+    for k, to in enumerate(maps):
+        members = (_looked_up(members, "n", to) if k else members.join(to, "n", "left")).select("id", F.coalesce("p", "n").alias("n"))
+        members = table(members)
+    least = table(members.groupBy("n").agg(F.min("id").alias("component")))
+    return _looked_up(members, "n", least).select("id", "component")
 
 
 def in_one_task(edges: DataFrame, run: Callable[[np.ndarray, np.ndarray, np.ndarray, list[str]], Iterable[np.ndarray | list]], schema: str) -> DataFrame:

@@ -90,3 +90,25 @@ def test_modularity_reads_edges_once(spark, sf):
     df = catalog.QUERIES["community_modularity"](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" not in plan  # what is left to do is read off the table of pairs
+
+
+def _components(nodes, edges):
+    name = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            if a in name and b in name:
+                name[a] = name[b] = min(name[a], name[b])
+    return name
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(community, "HOT_ROWS", 1)
+    calls = []
+    roots = community._roots
+    monkeypatch.setattr(community, "_roots", lambda parents: calls.append(1) or roots(parents))
+    nodes = list("abcdefghijkl")
+    for edges, rounds in ((["gf", "fe", "ed", "dz", "zc", "ha", "hb", "gb", "ii"], None), (["ab", "bc", "ca", "de", "ed", "fe", "gf", "hi"], None), (["la", "lb", "ac", "bc", "cd", "be"], 1)):
+        calls.clear()
+        got = {r.id: r.component for r in community.weak_components(graph(spark, nodes, edges), local=0).collect()}
+        assert got == _components(nodes, edges)
+        assert rounds in (None, len(calls))  # whatever one source leads to is one after a round
