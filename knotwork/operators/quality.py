@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import Graph
-from .metrics import architecture_style, degree_in_out, god_nodes
+from ..storage import spread, table
+from .metrics import architecture_style, endpoints, god_nodes, touched
 
 ISSUE = "type string, nodes string, severity double, description string, suggestion string"
 
 
-def god_classes(graph: Graph, above: int = 50) -> DataFrame:
-    """(id, in_degree, severity) of classes that more than so many edges enter."""
-    entered = graph.edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("in_degree")).where(F.col("in_degree") > above)
+def god_classes(graph: Graph, above: int = 50, counted: DataFrame | None = None) -> DataFrame:
+    """(id, in_degree, severity) of classes that more than so many edges enter. counted: what touched() found."""
+    if counted is None:
+        counted = spread(graph.edges.select(F.col("target").alias("id")), "id", like=graph.edges).groupBy("id").agg(F.count("*").alias("in_degree"))
+    entered = counted.select("id", "in_degree").where(F.col("in_degree") > above)
     severity = F.least(F.col("in_degree") / 100, F.lit(1.0))
     return graph.nodes.where("type = 'class'").select("id").join(entered, "id").select("id", "in_degree", severity.alias("severity"))
 
@@ -25,40 +28,52 @@ def circular(graph: Graph) -> DataFrame:
     Pairs meet by grouping, so edges are shuffled once and nothing is joined.
     """
     pairs = graph.edges.where("source is not null and target is not null").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), (F.col("source") <= F.col("target")).alias("up"), (F.col("source") >= F.col("target")).alias("down"))
-    both = pairs.groupBy("a", "b").agg(F.max("up").alias("up"), F.max("down").alias("down"))
+    both = spread(pairs, "a", "b", like=graph.edges).groupBy("a", "b").agg(F.max("up").alias("up"), F.max("down").alias("down"))
     return both.where("up and down").select("a", "b", F.lit(0.6).alias("severity"))
 
 
-def dead_code(graph: Graph) -> DataFrame:
-    """(id, severity) of functions that no edge touches."""
-    ends = graph.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+def dead_code(graph: Graph, counted: DataFrame | None = None) -> DataFrame:
+    """(id, severity) of functions that no edge touches. counted: what touched() found."""
+    ends = spread(endpoints(graph.edges), "id", like=graph.edges).distinct() if counted is None else counted.select("id")
     return graph.nodes.where("type = 'function'").select("id").join(ends, "id", "left_anti").select("id", F.lit(0.3).alias("severity"))
 
 
-def issues(graph: Graph) -> DataFrame:
-    """All findings: type, nodes (comma-separated), severity, description, suggestion."""
-    god = god_classes(graph).select(F.lit("god_class").alias("type"), F.col("id").alias("nodes"), "severity", F.format_string("%s is used %d times", "id", "in_degree").alias("description"), F.lit("Split it by responsibility").alias("suggestion"))
+def issues(graph: Graph, counted: DataFrame | None = None) -> DataFrame:
+    """All findings: type, nodes (comma-separated), severity, description, suggestion. What edges touch is counted once, into a
+    table, unless it is given."""
+    counted = table(touched(graph.edges)) if counted is None else counted
+    god = god_classes(graph, counted=counted).select(F.lit("god_class").alias("type"), F.col("id").alias("nodes"), "severity", F.format_string("%s is used %d times", "id", "in_degree").alias("description"), F.lit("Split it by responsibility").alias("suggestion"))
     loops = circular(graph).select(F.lit("circular_dependency").alias("type"), F.concat_ws(",", "a", "b").alias("nodes"), "severity", F.format_string("%s and %s depend on each other", "a", "b").alias("description"), F.lit("Move what they share to a third place").alias("suggestion"))
-    dead = dead_code(graph).select(F.lit("dead_code").alias("type"), F.col("id").alias("nodes"), "severity", F.format_string("Nothing uses %s", "id").alias("description"), F.lit("Remove it or say who needs it").alias("suggestion"))
+    dead = dead_code(graph, counted).select(F.lit("dead_code").alias("type"), F.col("id").alias("nodes"), "severity", F.format_string("Nothing uses %s", "id").alias("description"), F.lit("Remove it or say who needs it").alias("suggestion"))
     return god.unionByName(loops).unionByName(dead)
 
 
 def health(graph: Graph) -> DataFrame:
     """One row: 1 without issues, otherwise 1 less half their average severity."""
-    found = issues(graph).agg(F.count("*").alias("n_issues"), F.avg("severity").alias("s"))
+    return _health(issues(graph))
+
+
+def _health(issues_: DataFrame) -> DataFrame:
+    found = issues_.agg(F.count("*").alias("n_issues"), F.avg("severity").alias("s"))
     return found.select("n_issues", F.round(F.coalesce(1 - 0.5 * F.col("s"), F.lit(1.0)), 6).alias("health"))
 
 
 def issues_shown(found: DataFrame, each: int = 3) -> DataFrame:
     """The first so many issues of each type, by severity and nodes, with the number of all."""
-    of_type = Window.partitionBy("type")
-    rank = F.row_number().over(of_type.orderBy(F.desc("severity"), "nodes"))
-    return found.withColumns({"rank": rank.cast("bigint"), "of": F.count("*").over(of_type)}).where(F.col("rank") <= each)
+    # The number of all is counted apart, so that of each type only the first rows meet in a task.
+    found = table(found)
+    of = found.groupBy(F.col("type").alias("t")).agg(F.count("*").alias("of"))
+    rank = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("severity"), "nodes"))
+    first = found.withColumn("rank", rank).where(F.col("rank") <= each)
+    return first.join(F.broadcast(of), F.col("type").eqNullSafe(F.col("t"))).select(*found.columns, F.col("rank").cast("bigint").alias("rank"), "of")  # a row for each type
 
 
 def analyze(graph: Graph, k: int = 10) -> dict[str, DataFrame]:
-    """The architecture report: hubs, issues, health and style."""
-    return {"god_nodes": god_nodes(graph, k), "issues": issues(graph), "health": health(graph), "style": architecture_style(graph.edges)}
+    """The architecture report: hubs, issues, health and style. Edges are computed once, into a table, and so are issues."""
+    kept = Graph(graph.nodes, table(graph.edges.select("source", "target", "relation")), None, graph.project)
+    counted = table(touched(kept.edges))
+    found = table(issues(kept, counted))
+    return {"god_nodes": god_nodes(kept, k, counted), "issues": found, "health": _health(found), "style": architecture_style(kept.edges)}
 
 
 def analysis(graph: Graph, k: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from test_graph import brute_ranks, graph
 
 from knotwork import graphs
-from knotwork.operators import community, metrics
+from knotwork.operators import community, metrics, quality
 from knotwork.plans import catalog
 from knotwork.storage import TASK_BYTES, spread
 
@@ -112,3 +112,24 @@ def test_components_in_rounds(spark, monkeypatch):
         got = {r.id: r.component for r in community.weak_components(graph(spark, nodes, edges), local=0).collect()}
         assert got == _components(nodes, edges)
         assert rounds in (None, len(calls))  # whatever one source leads to is one after a round
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_issues_are_grouped_after_spreading(spark, sf):
+    g = graphs.star(spark, sf)
+    lines = _plan(g.edges).count("REPARTITION_BY_NUM")
+    for df in (quality.dead_code(g), quality.circular(g), quality.god_classes(g)):
+        assert _plan(df).count("REPARTITION_BY_NUM") == lines + 1  # edges are spread before they are grouped
+
+
+def test_issues_shown_and_analysis_count_all(spark):
+    nodes = [*((f"f{k}", f"f{k}", "function") for k in range(5)), ("a", "a", "class"), ("b", "b", "class")]
+    g = graph(spark, nodes, [("a", "b"), ("b", "a")])
+    shown = sorted((r.type, r.nodes, r.rank, r.of) for r in quality.issues_shown(quality.issues(g)).collect())
+    assert shown == [("circular_dependency", "a,b", 1, 1), *(("dead_code", f"f{k}", k + 1, 5) for k in range(3))]
+    rows = {(r.section, r.name): r.value for r in quality.analysis(g).collect()}
+    assert rows[("issues", "dead_code")] == 5 and rows[("issues", "circular_dependency")] == 1 and rows[("god_nodes", "a")] == 2
+    assert rows[("health", "score")] == round(1 - 0.5 * (5 * 0.3 + 0.6) / 6, 6)
