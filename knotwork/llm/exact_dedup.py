@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from knotwork.session import ship
 
 from ._spark import narrow_ids, table
-from ._text import U64, mix
+from ._text import U64, lean, mix
 
 MEMTABLE = 65_536
 #: Rows to a partition's index, about; more partitions are made for more rows.
@@ -182,7 +182,7 @@ def _resolve(docs: DataFrame, bits: int) -> DataFrame:
     d = _digested(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id is not null and text is not null"), bits)
     digests = d.select(F.col("__kw_hi").alias("hi"), F.col("__kw_lo").alias("lo"), "id")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PARTITION))
-    index = table(digests.repartition(parts, "hi", "lo").mapInArrow(_index_partition, INDEX))
+    index = table(digests.repartition(parts, "hi", "lo").mapInArrow(lean(_index_partition), INDEX))
     # Byte verification. Only texts whose digest was hit are moved, each to meet the text of the entry that it hit.
     groups = table(index.where("hit and id = keep_id").select("hi", "lo", "keep_id").distinct())
     _, few = narrow_ids(groups, "keep_id")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._spark import hash_order, share, table
-from ._text import LETTERS, Codes, Memo, batches, distinct, kept
+from ._text import LETTERS, Codes, Memo, batches, distinct, give_back, kept, lean
 
 WORD = r"[a-z\x{80}-\x{10FFFF}]+"
 ORDERS = (5, 4, 3, 2, 1)
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: Model, min_margin: int = MIN_MARGIN) -> Dat
             names = [m.langs[k] if y else None for k, y in zip(r[:, 0], ok, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(r[:, 1]), pa.array(r[:, 2]), pa.array(r[:, 3]), pa.array(ok)], ["doc_id", "predicted", "n_words", "cost", "margin", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("t")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("t")).mapInArrow(lean(run), SCHEMA)
 
 
 def accepted_only(docs: DataFrame, model: Model, min_margin: int = MIN_MARGIN) -> DataFrame:
@@ -169,6 +169,7 @@ def accepted_only(docs: DataFrame, model: Model, min_margin: int = MIN_MARGIN) -
         for s in texts:
             r = shared.value.texts([t or "" for t in s], memo)
             yield pd.Series((r[:, 0] >= 0) & (r[:, 3] >= min_margin))
+        give_back()
 
     return docs.where(accept(F.lower(docs["text"])))
 

@@ -22,7 +22,7 @@ from knotwork.session import ship
 
 from ._classes import describe
 from ._spark import keep_ids, narrow_ids, table
-from ._text import U64, WORDS, Codes, batches, mix, ngram_hashes
+from ._text import U64, WORDS, Codes, batches, lean, mix, ngram_hashes
 
 NGRAM = 3
 THRESHOLD = 0.5
@@ -174,7 +174,7 @@ def _groups(docs: DataFrame, n: int, threshold: float, recall: float, block: int
     ship(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     d = _documents(docs)
-    everything = table(d.mapInArrow(_sign(bands, rows, n), SIGNED))
+    everything = table(d.mapInArrow(lean(_sign(bands, rows, n)), SIGNED))
     signed = everything.where("size > 0")
     same = ["size", "fp1", "fp2"]
     # A written table keeps the numbers that it is given.
@@ -205,7 +205,7 @@ def _groups(docs: DataFrame, n: int, threshold: float, recall: float, block: int
     texts = texts.select(F.struct("key", "i", "j").alias("place"), "gid", F.col("t.text").alias("text"), "partners")
     texts = texts.repartition("place").sortWithinPartitions("place", "gid").select(F.to_json("place").alias("place"), "gid", "text", "partners")
     blank = everything.where("size = 0").select(F.col("doc_id").alias("id")).distinct()
-    return reps.select("gid", "doc_id"), members, table(texts.mapInArrow(_verify(n, threshold), PAIRS)), blank
+    return reps.select("gid", "doc_id"), members, table(texts.mapInArrow(lean(_verify(n, threshold)), PAIRS)), blank
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:

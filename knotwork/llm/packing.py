@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._spark import narrow_ids, share, table
+from ._text import lean
 from .tokens import VOCABULARY, token_counts
 
 CAPACITY = 2048
@@ -179,4 +180,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, vocabula
                 columns = [doc[row], np.where(w, nth % np.maximum(full[row], 1), full[row]), np.where(w, capacity, rest[row]), out]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "piece", "tokens", "bin"])
 
-    return ranked.unionByName(wide).mapInArrow(place, RESULT)
+    return ranked.unionByName(wide).mapInArrow(lean(place), RESULT)

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import share
-from ._text import Codes, Memo, batches, distinct, kept
+from ._text import Codes, Memo, batches, distinct, kept, lean
 
 #: The file of the vocabulary; the environment may name another.
 VOCABULARY = os.environ.get("KNOTWORK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RESULT = "doc_id bigint, n_tokens bigint"
+#: Texts that are Python objects at once.
+ROWS = 1_000
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
@@ -166,7 +168,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = kept("tokens", name, lambda: Counter(shared.value[0], pattern, shared.value[1]))
         for b in stream:
-            n = counter.texts([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], ["doc_id", "n_tokens"])
+            for part in (b.slice(k, ROWS) for k in range(0, b.num_rows, ROWS)):
+                n = counter.texts([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n)], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(run), RESULT)
