@@ -7,7 +7,7 @@ import pytest
 from test_graph import brute_ranks, graph
 
 from knotwork import graphs
-from knotwork.operators import community, metrics, quality
+from knotwork.operators import build, community, metrics, quality, traverse
 from knotwork.plans import catalog
 from knotwork.storage import TASK_BYTES, spread
 
@@ -133,3 +133,28 @@ def test_issues_shown_and_analysis_count_all(spark):
     rows = {(r.section, r.name): r.value for r in quality.analysis(g).collect()}
     assert rows[("issues", "dead_code")] == 5 and rows[("issues", "circular_dependency")] == 1 and rows[("god_nodes", "a")] == 2
     assert rows[("health", "score")] == round(1 - 0.5 * (5 * 0.3 + 0.6) / 6, 6)
+
+
+def test_hubs_are_spread(spark, sf):
+    g = graphs.star(spark, sf)
+    members = g.nodes.select(g.nodes.id.alias("node_id"), g.nodes.ord.cast("bigint").alias("community_id"))
+    plan = _plan(community.community_hubs(g, members))
+    assert plan.count("REPARTITION_BY_NUM") == _plan(g.edges).count("REPARTITION_BY_NUM") + 1 and "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("local", (0, 100))
+def test_paths_join_no_edge_with_nodes(spark, monkeypatch, local):
+    g = graph(spark, list("abcdef"), ["ab", "ac", "bd", "cd", "df", "zf", "az", "ab", "de"])
+    calls = []
+    valid = traverse.valid_edges
+    monkeypatch.setattr(traverse, "valid_edges", lambda g_: calls.append(1) or valid(g_))
+    assert [r.id for r in traverse.shortest_path(g, "a", "f", local).orderBy("step").collect()] == list("abdf")
+    assert traverse.shortest_path(g, "a", "z", local).count() == 0 and traverse.shortest_path(g, "f", "a", local).count() == 0
+    assert bool(calls) == bool(local)  # edges that lack an end only matter in one task
+
+
+def test_first_rows_are_spread(spark, sf):
+    g = graphs.star(spark, sf)
+    lines = _plan(g.edges).count("REPARTITION_BY_NUM")
+    assert _plan(build.dedupe_edges(g.edges)).count("REPARTITION_BY_NUM") == lines + 1
+    assert "REPARTITION_BY_NUM" in _plan(build.dedupe_nodes(g.nodes))
