@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -159,30 +160,87 @@ def _strong(source: np.ndarray, target: np.ndarray, _: np.ndarray, ids: list[str
     return ids, [ids[k] for k in name]
 
 
+def _cyclic(source: np.ndarray, target: np.ndarray, w: np.ndarray, ids: list[str]) -> tuple[list]:
+    """The ids that a cycle goes through."""
+    _, names = _strong(source, target, w, ids)
+    size = Counter(names)
+    own = {ids[k] for k in source[source == target].tolist()}
+    return ([i for i, name in zip(ids, names, strict=True) if size[name] > 1 or i in own],)
+
+
+def _mark(column: str) -> Column:
+    """A number for an id. Ids may share one, which may only keep more edges."""
+    return F.xxhash64(column)
+
+
+def _on_cycles(edges: DataFrame, local: int) -> DataFrame:
+    """edges, a table without self-loops, without those that are on no cycle: all of those if at most local are left for one
+    task, else what can be trimmed away. edges itself if nothing goes.
+
+    Edges are pairs of marks until the end. A round trims the edges to nodes without an edge out, or those from nodes without
+    an edge in: one way as long as a quarter of the edges goes, else the other.
+    """
+    pairs, size = edges.select(_mark("source").alias("u"), _mark("target").alias("v")), edges.count()
+    whole, like, made = size, edges, []
+    at, other, idle = "v", "u", 0
+    while size > local and idle < 2:
+        ends = spread(pairs.select(F.col(other).alias(at)), at, like=like).distinct()
+        # Joined, not left_semi: the optimizer would move that below the spreading.
+        pairs = like = table(spread(pairs, at, like=like).join(ends, at).select("u", "v"))
+        left = pairs.count()
+        if made:
+            discard(made.pop(), shuffles=True)
+        made.append(pairs)
+        idle = 0 if left < size else idle + 1
+        if left > size * 3 / 4:
+            at, other = other, at
+        size = left
+    if 0 < size <= local:
+        text = pairs.select(F.col("u").cast("string").alias("source"), F.col("v").cast("string").alias("target"), F.lit(1.0).alias("w"))
+        found = table(in_one_task(text, _cyclic, "id string").select(F.col("id").cast("bigint").alias("u")))
+        pairs = table(pairs.join(found, "u").join(found.withColumnRenamed("u", "v"), "v").select("u", "v"))
+        size = pairs.count()
+    if size == whole:
+        return edges
+    if not size:
+        return table(edges.limit(0))
+    left, marked = pairs.distinct(), edges.withColumns({"u": _mark("source"), "v": _mark("target")})
+    if size > HOT_ROWS:
+        left, marked = (spread(df, "u", "v", like=edges) for df in (left, marked))
+    else:
+        left = F.broadcast(left)
+    return table(marked.join(left, ["u", "v"]).select("source", "target"))
+
+
 def strong_components(graph: Graph, local: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) of every node; a component is named by its least id.
 
-    Nodes without an edge in or without one out are components of their own and are trimmed first, again and again. In what
+    Edges that are on no cycle are trimmed first, again and again, before their ends are looked up among the nodes. In what
     is left each node takes the least id that leads to it; the nodes that lead back to that id, through nodes of the same
     name, are its component. They go, and the rest goes round again. Once at most local edges are left, one task
     finishes them: the components are the same either way.
     """
-    nodes = graph.nodes.select("id").distinct()
-    edges = table(valid_edges(graph).where("source <> target").select("source", "target").distinct())
+    nodes = spread(graph.nodes.select("id"), "id", like=graph.edges).distinct()
+    edges = table(graph.edges.where("source <> target").select("source", "target"))
+    if edges.count() > local:
+        edges = _on_cycles(edges, local)
+        if edges.isEmpty():
+            return nodes.withColumn("component", F.col("id"))
+    edges = table(valid_edges(Graph(nodes, edges), like=graph.edges).distinct())
     size = edges.count()
     done: list[DataFrame] = []
     while size > local:
-        ends = edges.select(F.col("source").alias("id")).distinct().intersect(edges.select(F.col("target").alias("id")).distinct())
-        kept = table(edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target"))
-        before, size, edges = size, kept.count(), kept
-        if size < before:
+        kept = _on_cycles(edges, local)
+        if kept is not edges:
+            edges, size = kept, kept.count()
             continue
         names = table(edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("name", F.col("id")))
         moved = 1
         while moved:
             said = edges.join(names.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("name").alias("said"))
             # The name of one's name leads here, too, which makes long ways short.
-            names = names.join(said, "id").select("id", F.least("name", "said").alias("name"), (F.col("said") < F.col("name")).alias("moved"))
+            # Left, as a node may have no edge in where marks are shared.
+            names = names.join(said, "id", "left").select("id", F.least("name", "said").alias("name"), F.coalesce(F.col("said") < F.col("name"), F.lit(False)).alias("moved"))
             far = names.select(F.col("id").alias("name"), F.col("name").alias("further"))
             names = table(names.join(far, "name").select("id", F.least("name", "further").alias("name"), (F.col("moved") | (F.col("further") < F.col("name"))).alias("moved")))
             moved = names.where("moved").count()

@@ -26,12 +26,13 @@ def touched(edges: DataFrame) -> DataFrame:
     return spread(ends, "id", like=edges).groupBy("id").agg(F.sum("i").alias("in_degree"), F.count("*").alias("degree"))
 
 
-def valid_edges(graph: Graph) -> DataFrame:
-    """Edges both of whose ends are nodes."""
+def valid_edges(graph: Graph, like: DataFrame | None = None) -> DataFrame:
+    """Edges both of whose ends are nodes. like: what nodes and edges are spread like, where edges are fewer than nodes."""
+    like = graph.edges if like is None else like
     # Joined, not left_semi: the optimizer would move that below the spreading, into each part of a union.
-    ids, columns = spread(graph.nodes.select("id"), "id", like=graph.edges).distinct(), graph.edges.columns
-    e = spread(graph.edges, "source", like=graph.edges).join(ids.withColumnRenamed("id", "source"), "source").select(columns)
-    return spread(e, "target", like=graph.edges).join(ids.withColumnRenamed("id", "target"), "target").select(columns)
+    ids, columns = spread(graph.nodes.select("id"), "id", like=like).distinct(), graph.edges.columns
+    e = spread(graph.edges, "source", like=like).join(ids.withColumnRenamed("id", "source"), "source").select(columns)
+    return spread(e, "target", like=like).join(ids.withColumnRenamed("id", "target"), "target").select(columns)
 
 
 def degree_in_out(graph: Graph) -> DataFrame:

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_graph import brute_ranks, graph
 
 from knotwork import graphs
@@ -158,3 +159,22 @@ def test_first_rows_are_spread(spark, sf):
     lines = _plan(g.edges).count("REPARTITION_BY_NUM")
     assert _plan(build.dedupe_edges(g.edges)).count("REPARTITION_BY_NUM") == lines + 1
     assert "REPARTITION_BY_NUM" in _plan(build.dedupe_nodes(g.nodes))
+
+def test_strong_components_trim_before_nodes_are_looked_up(spark, monkeypatch):
+    calls = []
+    valid = community.valid_edges
+    monkeypatch.setattr(community, "valid_edges", lambda *a, **k: calls.append(1) or valid(*a, **k))
+    nodes = list("abcdefghijkl")
+    assert all(r.id == r.component for r in community.strong_components(graph(spark, nodes, ["ab", "ac", "bd", "cd", "df", "az", "zy", "ab"]), 3).collect())
+    assert not calls  # without a cycle no edge is joined with nodes
+    edges = ["ab", "bc", "ca", "cd", "de", "ed", "ef", "fz", "zf", "gg", "hi", "ij", "jk", "kj", "la", "ab"]
+    for local in (2, 10):
+        got = {r.id: r.component for r in community.strong_components(graph(spark, nodes, edges), local).collect()}
+        assert got == {**{n: n for n in "fghil"}, "a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "j": "j", "k": "j"}
+
+
+def test_ids_that_share_a_mark_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(community, "_mark", lambda c: F.lit(0).cast("bigint"))
+    g = graph(spark, list("abcdef"), ["fa", "ab", "bc", "ca", "cd", "de", "ed"])
+    got = {r.id: r.component for r in community.strong_components(g, 6).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
